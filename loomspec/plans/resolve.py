@@ -40,6 +40,8 @@ def infer_base(target: TableSpec, specs: dict[str, TableSpec]) -> str | None:
     """The declared base; else, of the contributing tables, the one with the highest hub score, then most relationships, then the first name."""
     if target.metadata.base_table:
         return target.metadata.base_table
+    if target.metadata.base_strategy in ("union_sources", "union_branches"):
+        return None  # the base is made of keys or branches, no table
     tables = sorted({x.table for _, x in candidates(target) if x.table})
     if not tables:
         return None

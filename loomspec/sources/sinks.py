@@ -21,17 +21,17 @@ class VersionedTable:
     """A Parquet table whose versions are folders and whose current one is named by a pointer file.
 
     Readers see a whole version or the one before; a path that is being read is never written. Versions are told apart by a
-    random name, the pointer is replaced by a rename.
+    random name; the pointer is replaced by one overwriting rename.
     """
 
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.path = spark, path.rstrip("/")
 
     def current(self) -> str | None:
-        fs, pointer = _fs(self.spark, f"{self.path}/_current")
+        fs, pointer = _fs(self.spark, f"{self.path}/CURRENT")
         if not fs.exists(pointer):
             return None
-        return self.spark.read.text(f"{self.path}/_current").first()[0]
+        return self.spark.read.text(f"{self.path}/CURRENT").first()[0]
 
     def read(self) -> DataFrame | None:
         version = self.current()
@@ -40,13 +40,17 @@ class VersionedTable:
     def write(self, df: DataFrame) -> None:
         version = f"v-{uuid.uuid4().hex}"
         df.write.parquet(f"{self.path}/{version}")
-        fs, pointer = _fs(self.spark, f"{self.path}/_current")
+        fs, pointer = _fs(self.spark, f"{self.path}/CURRENT")
         temp = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{self.path}/.new-{version}")
         out = fs.create(temp, True)
         out.write(bytearray(version.encode()))
         out.close()
-        fs.delete(pointer, False)
-        fs.rename(temp, pointer)
+        fs_package = self.spark.sparkContext._jvm.org.apache.hadoop.fs
+        context = fs_package.FileContext.getFileContext(pointer.toUri(), self.spark.sparkContext._jsc.hadoopConfiguration())
+        rename = getattr(fs_package, "Options$Rename")
+        how = self.spark.sparkContext._gateway.new_array(rename, 1)
+        how[0] = rename.OVERWRITE
+        context.rename(fs.makeQualified(temp), fs.makeQualified(pointer), how)
 
 
 def format_for_output(df: DataFrame, spec: TableSpec) -> DataFrame:
