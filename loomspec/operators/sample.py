@@ -128,7 +128,8 @@ def generate(spark: SparkSession, specs: dict[str, TableSpec], rows: int | dict[
             elif c.name in spec.primary_key:
                 columns.append(key_value(c, F.col("id")).alias(c.name))
             else:
-                columns.append(value(c, seed, rules).cast(spark_type(c)).alias(c.name))
+                made = value(c, seed, rules)
+                columns.append((made if c.type.upper() == "EMBEDDING" else made.cast(spark_type(c))).alias(c.name))
         df = df.select(*columns)
         for c in [x for x in df.columns if x.startswith("__pool_")]:
             own = c.removeprefix("__pool_")
