@@ -91,7 +91,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, remove: str = "document
     """The documents without hits (remove='documents'), or all documents without their hit words (remove='spans').
 
     Rows, columns and their order stay as they are otherwise. Without its spans, a text that was hit is what stands between
-    and around its hit words, including their separators. Rows are matched by their place in the scan.
+    and around its hit words, including their separators.
     """
     if remove not in ("documents", "spans"):
         raise ValueError(f"remove: {remove!r}")
@@ -103,10 +103,12 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, remove: str = "document
             return docs
         if count <= most_hashes:
             return _without_hits(cut, windows).select(*(F.col("whole")[c].alias(c) for c in docs.columns))
-    numbered = docs.select(F.monotonically_increasing_id().alias(ROW), *whole)
-    cut = docs.select(F.monotonically_increasing_id().alias(ROW), words(docs[text_col].cast("string")).alias("w"))
-    hits = _with_hits(cut.withColumn("key", F.col(ROW)), benchmark, n, item_col, most_hashes, ["key"]).where(F.size("hit_words") > 0)
-    both = numbered.join(hits.select(F.col("key").alias(ROW), "hit_words"), ROW, "left")
+    # a text's digest stands for its row: it is the same however often the input is computed
+    digest = F.unhex(F.sha2(docs[text_col].cast("string"), 256)).alias("key")
+    numbered = docs.select(digest, *whole)
+    cut = docs.select(F.monotonically_increasing_id().alias(ROW), digest, words(docs[text_col].cast("string")).alias("w"))
+    hits = _with_hits(cut, benchmark, n, item_col, most_hashes, ["key"]).where(F.size("hit_words") > 0).dropDuplicates(["key"])
+    both = numbered.join(hits.select("key", "hit_words"), "key", "left")
     if remove == "documents":
         return both.where(F.col("hit_words").isNull()).select(*(F.col("whole")[c].alias(c) for c in docs.columns))
     return both.select(*((without_words(F.col("whole")[c], F.col("hit_words")) if c == text_col else F.col("whole")[c]).alias(c) for c in docs.columns))

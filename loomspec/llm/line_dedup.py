@@ -49,9 +49,10 @@ def remove_boilerplate(docs: DataFrame, site_col: str = "source", text_col: str
     """docs with the text less its boilerplate lines; with removed_col also the number of lines removed."""
     lines = saved(boilerplate_lines(docs, site_col, text_col, least_sites).select("key"), "boilerplate")
     row, hit = "__lines_row", "__lines_hit"
-    numbered = docs.withColumn(row, F.monotonically_increasing_id())
+    # a text's digest stands for its row: it is the same however often the input is computed, and copies share one list of hits
+    numbered = docs.withColumn(row, F.unhex(F.sha2(F.col(text_col).cast("string"), 256)))
     keys = numbered.select(row, F.explode(F.array_distinct(F.filter(line_keys(F.col(text_col).cast("string")), lambda k: k.isNotNull()))).alias("key"))
-    hits = keys.join(lines, "key", "left_semi").groupBy(row).agg(F.collect_list("key").alias(hit))  # at most a document's own lines
+    hits = keys.join(lines, "key", "left_semi").groupBy(row).agg(F.collect_set("key").alias(hit))  # at most a document's own lines
     both = numbered.join(hits, row, "left")
     split = F.split(F.col(text_col).cast("string"), "\n")
     kept = F.filter(split, lambda x: ~F.coalesce(F.array_contains(F.col(hit), line_key(x)), F.lit(False)))
