@@ -5,10 +5,11 @@ place picks the bin, its value competes there, and an empty bin copies a bin pic
 attempt (optimal densification). Bands of `ROWS` bins are bucket keys.
 
 Documents with equal sets are one node. Candidates are stars: in each bucket a hub is compared with the bucket's other
-members, so a bucket of m members gives m - 1 pairs. Pairs are confirmed on full sets. After each round, buckets whose
+members, so a bucket of m members gives m - 1 pairs. The hub is the member that shares buckets with most others. Pairs are confirmed on full sets. After each round, buckets whose
 members have come to be in one component are done; the others are compared with another hub. What is left after the last
 star round, pairs of different components within a bucket that no star has compared, is compared as it is: no link that any
-bucket holds is lost. At the threshold, a linked pair shares no bucket with a probability of (1 - s**ROWS)**BANDS, about
+bucket holds is lost. Pairs that cannot be links are not made: two sets have no more in common than what each shares with
+any other set, so texts that were changed too much to be linked with anything fall out of a large group together. At the threshold, a linked pair shares no bucket with a probability of (1 - s**ROWS)**BANDS, about
 1e-7 for 0.85.
 
 A null text or one without words has an empty set and is linked with nothing. Rows that share an id are one node and get the
@@ -23,7 +24,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomspec.llm.common import ID, TEXT, id_text, saved
@@ -33,7 +34,7 @@ from loomspec.llm.shingles import WordHashes, mix, shingles
 BANDS, ROWS = 32, 5
 BINS = BANDS * ROWS
 ATTEMPTS = 4096
-STAR_ROUNDS = 3
+STAR_ROUNDS = 2
 
 
 def _probes() -> np.ndarray:
@@ -130,8 +131,11 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, id_col: s
     own = usable.join(owners, (usable[ID] == owners["node"]) & (usable["s1"] == owners["s1"]) & (usable["s2"] == owners["s2"])).select("node", "n", "bands")
     rows = own.select("node", "n", F.explode("bands").alias("key")).distinct()
     # buckets of one member end here; counts are combined in the map tasks
-    full = rows.groupBy("key").agg(F.count("*").alias("members")).where("members > 1").select("key")
-    members = saved(rows.join(full, "key"), "members")
+    full = rows.groupBy("key").agg(F.count("*").alias("m")).where("m > 1")
+    together = saved(rows.join(full, "key"), "members")
+    # what a group was copied from lies in the largest bucket of every band: the sum of its buckets' sizes is the highest
+    weights = together.groupBy("node").agg(F.sum("m").alias("weight"))
+    members = saved(together.drop("m").join(weights, "node"), "members")
     links = _links(members, texts, size, percent)
     same = usable.select(ID, "s1", "s2").join(nodes.where("m > 1"), ["s1", "s2"]).select(F.col(ID).alias("a"), F.col("node").alias("b"))
     edges = same if links is None else same.unionByName(links)
@@ -147,16 +151,21 @@ def _links(members: DataFrame, texts: DataFrame, size: int, percent: int) -> Dat
         return None
     chosen = members.select(F.col("node").alias(ID)).distinct()
     sets = saved(full_sets(texts.join(chosen, ID, "left_semi").dropDuplicates([ID]), size).withColumnRenamed(ID, "node"), "sets")
-    alike = 100 * F.least("n", "hub_n") >= percent * F.greatest("n", "hub_n")  # else the sets' sizes alone rule it out
+    # no two sets have more in common than what either shares with any: s, at first the whole set
+    common = F.least("s", "hub_s")
+    alike = 100 * common >= percent * (F.col("n") + F.col("hub_n") - common)
+    members = members.withColumn("s", F.col("n"))
     live, links, tried = members.withColumn("component", F.col("node")), None, None
+    best = F.max(F.struct("weight", (-F.col("node")).alias("first"), "n", "s")).alias("best")
     for turn in range(STAR_ROUNDS + 1):
         if turn < STAR_ROUNDS:
-            # the smallest id first, then the largest, then by a hash of bucket and id: the ends of a bucket differ in most buckets
-            order = [F.col("node"), -F.col("node"), F.xxhash64("key", "node")][turn]
-            hubs = live.groupBy("key").agg(F.min(F.struct(order.alias("order"), "node", "n", "component")).alias("hub"))
-            hubs = hubs.select("key", F.col("hub.node").alias("hub"), F.col("hub.n").alias("hub_n"), F.col("hub.component").alias("hub_component"))
+            # the member of most weight first; then, of the bucket's components by their members of most weight, the next one's
+            hubs = live.groupBy("key", "component").agg(best)
+            w = Window.partitionBy("key").orderBy(F.desc("best"))
+            hubs = hubs.withColumn("rank", F.row_number().over(w)).where(F.col("rank") == turn + 1)
+            hubs = hubs.select("key", (-F.col("best.first")).alias("hub"), F.col("best.n").alias("hub_n"), F.col("best.s").alias("hub_s"), F.col("component").alias("hub_component"))
         else:
-            hubs = live.select("key", F.col("node").alias("hub"), F.col("n").alias("hub_n"), F.col("component").alias("hub_component"))
+            hubs = live.select("key", F.col("node").alias("hub"), F.col("n").alias("hub_n"), F.col("s").alias("hub_s"), F.col("component").alias("hub_component"))
         pairs = live.join(hubs, "key").where((F.col("hub_component") != F.col("component")) & alike)
         pairs = pairs.select(F.least("hub", "node").alias("a"), F.greatest("hub", "node").alias("b")).distinct()
         if tried is not None:
@@ -170,15 +179,31 @@ def _links(members: DataFrame, texts: DataFrame, size: int, percent: int) -> Dat
         if turn == STAR_ROUNDS:
             break
         found = components(links)
-        labelled = members.join(found, "node", "left").select("key", "node", "n", F.coalesce("component", "node").alias("component"))
-        # a bucket of two has been compared; one that lies in a component needs no more
-        open_ = labelled.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("m")).where("low <> high and m > 2").select("key")
-        live = saved(labelled.join(open_, "key"), "live")
+        labelled = members.join(found, "node", "left").select("key", "node", "n", "s", "weight", F.coalesce("component", "node").alias("component"))
+        live = saved(_undecided(labelled), "live")
         if live.isEmpty():
             break
+        if turn == 0:
+            members = saved(live.drop("component", "s").join(_shared_sizes(sets, live), "node").where(100 * F.col("s") >= percent * F.col("n")), "members")
+            live = saved(_undecided(members.join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))), "live")
+            if live.isEmpty():
+                break
     return links
 
 
+def _undecided(labelled: DataFrame) -> DataFrame:
+    """Rows of buckets that hold several components; a bucket of two has been compared."""
+    several = labelled.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("m")).where("low <> high and m > 2")
+    return labelled.join(several.select("key"), "key")
+
+
+def _shared_sizes(sets: DataFrame, live: DataFrame) -> DataFrame:
+    """(node, s): how many elements of a set are in any other set of these nodes. Nodes that share nothing are left out."""
+    elements = sets.join(live.select("node").distinct(), "node", "left_semi").select("node", F.explode("elements").alias("element"))
+    shared = elements.groupBy("element").agg(F.count("*").alias("m")).where("m > 1").select("element")
+    return elements.join(shared, "element").groupBy("node").agg(F.count("*").alias("s"))
+
+
 def keep_one(docs: DataFrame, size: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of docs that near_duplicates keeps: the one with the smallest id of each group, and rows without an id."""
     gone = near_duplicates(docs, size, percent, id_col, text_col).where("not kept").select(F.col(id_col).alias("__gone")).distinct()
