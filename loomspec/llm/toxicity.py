@@ -1,6 +1,7 @@
 """Toxicity scores by a factorization machine over hashed terms.
 
-A text's features are its distinct lower-case words, hashed into 2**24 buckets. The model holds a weight and a vector of
+A text's terms are its distinct lower-case words and the beginnings of the longer ones, for inflected and compound forms,
+hashed into 2**24 buckets. The model holds a weight and a vector of
 `FACTORS` numbers for each bucket that is frequent enough in the training sample; a pair of terms adds the product of
 their vectors, so that words which are harmless apart can count together. The training sample is bounded
 (training.SAMPLE_ROWS); scoring reads every whole text. Null and empty texts have no terms and get the bias alone. Repeated
@@ -30,12 +31,20 @@ FACTORS = 6
 LEAST_TEXTS = 8
 MOST_TERMS = 1 << 16
 EPOCHS = 12
+#: How much more a toxic text weighs than a clean one, and how much slower factors learn than weights.
+RARE_WEIGHT, FACTOR_STEP = 2.5, 0.1
 MEMO_ENTRIES = 400_000
 WORDS = re.compile(r"\w+").findall
 
 
-def bucket(word: str) -> int:
-    return zlib.crc32(word.encode()) & (BUCKETS - 1)
+#: Lengths of the beginnings that are terms of their own.
+BEGINNINGS = (4, 5, 6, 7)
+
+
+def buckets(word: str) -> tuple[int, ...]:
+    """Of a word, and of its beginnings."""
+    terms = [word, *("^" + word[:k] for k in BEGINNINGS if len(word) >= k)]
+    return tuple({zlib.crc32(x.encode()) & (BUCKETS - 1) for x in terms})
 
 
 def distinct_buckets(texts: DataFrame) -> DataFrame:
@@ -43,9 +52,9 @@ def distinct_buckets(texts: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memo = bounded_memo(MEMO_ENTRIES)
-        memo.make = bucket
+        memo.make = buckets
         for batch in batches:
-            terms = [sorted({memo[w] for w in WORDS(x.lower())}) for x in batch.column(TEXT).to_pylist()]
+            terms = [sorted(set().union(*map(memo.__getitem__, set(WORDS(x.lower()))))) for x in batch.column(TEXT).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("label"), pa.array(terms, pa.list_(pa.int32()))], names=["label", "terms"])
 
     return texts.select("label", TEXT).mapInArrow(run, "label double, terms array<int>")
@@ -81,7 +90,8 @@ def fit(labels: np.ndarray, terms: list[np.ndarray], seed: int = 11) -> Factoriz
     model = FactorizationMachine(np.array(sorted(kept), np.int64), float(np.log(rate / (1 - rate))), w, v)
     if not n or labels.min() == labels.max():
         return model
-    sum_w, sum_v, sum_b, step, l2 = np.full(n, 1e-6), np.full((n, k), 1e-6), 1e-6, 0.15, 2e-4
+    sum_w, sum_v, sum_b, step, l2 = np.full(n, 1e-6), np.full((n, k), 1e-6), 1e-6, 0.2, 1e-3
+    weight = np.where(labels > 0, RARE_WEIGHT, 1.0)
     for epoch in range(EPOCHS):
         order = rng.permutation(len(rows))
         for first in range(0, len(order), 256):
@@ -90,7 +100,7 @@ def fit(labels: np.ndarray, terms: list[np.ndarray], seed: int = 11) -> Factoriz
             index = np.concatenate([rows[i] for i in chosen]) if lens.sum() else np.zeros(0, np.int64)
             offsets = np.concatenate([[0], np.cumsum(lens)])
             row = np.repeat(np.arange(len(chosen)), lens)
-            error = sigmoid(model.raw(index, offsets)) - labels[chosen]
+            error = (sigmoid(model.raw(index, offsets)) - labels[chosen]) * weight[chosen]
             used, inverse = np.unique(index, return_inverse=True)
             grad = np.bincount(inverse, error[row], len(used)) / len(chosen) + l2 * w[used]
             sum_w[used] += grad**2
@@ -100,7 +110,7 @@ def fit(labels: np.ndarray, terms: list[np.ndarray], seed: int = 11) -> Factoriz
             grad_v = np.stack([np.bincount(inverse, pull[:, f], len(used)) for f in range(k)], 1) / len(chosen) + l2 * v[used]
             sum_v[used] += grad_v**2
             w[used] -= step * grad / np.sqrt(sum_w[used])
-            v[used] -= 0.2 * step * grad_v / np.sqrt(sum_v[used])
+            v[used] -= FACTOR_STEP * step * grad_v / np.sqrt(sum_v[used])
             g = error.mean()
             sum_b += g * g
             model.bias -= step * g / np.sqrt(sum_b)
@@ -134,14 +144,12 @@ def _scored(texts: DataFrame, carry: str, model: FactorizationMachine) -> DataFr
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         machine = FactorizationMachine(*shared.value)
         memo = bounded_memo(MEMO_ENTRIES)
-        place = machine.place.get
-        memo.make = lambda word: place(bucket(word), -1)
+        place = machine.place
+        memo.make = lambda word: tuple(place[b] for b in buckets(word) if b in place)
         for batch in batches:
             found = []
             for text in batch.column(TEXT).to_pylist():
-                hits = {memo[w] for w in WORDS(text.lower())}
-                hits.discard(-1)
-                found.append(sorted(hits))
+                found.append(sorted(set().union(*map(memo.__getitem__, set(WORDS(text.lower()))))))
             offsets = np.concatenate([[0], np.cumsum([len(x) for x in found], dtype=np.int64)])
             index = np.fromiter((i for x in found for i in x), np.int64, offsets[-1])
             yield pa.RecordBatch.from_arrays([batch.column(carry), pa.array(sigmoid(machine.raw(index, offsets)))], names=[carry, "score"])
