@@ -9,10 +9,10 @@ import sys
 from loomspec import schema
 from loomspec.operators.suite import baseline_rules, to_json
 from loomspec.plans import lineage
-from loomspec.spec import TableSpec, load
+from loomspec.spec import TableDefinition, load
 
 
-def specs_in(paths: list[str]) -> dict[str, TableSpec]:
+def specs_in(paths: list[str]) -> dict[str, TableDefinition]:
     found = [load(p) for p in paths]
     return {s.name: s for s in found}
 

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from loomspec.functions.casts import cast_column
-from loomspec.spec import SpecError, TableSpec
+from loomspec.spec import SpecError, TableDefinition
 
 META = ("_source_file", "_load_ts")
 
@@ -58,7 +58,7 @@ def latest(df: DataFrame, keys: list[str], order: tuple[str, ...], keep_null_key
     return out if kept is None else out.unionByName(kept)
 
 
-def typed(raw: DataFrame, spec: TableSpec, typed_raw: bool = False) -> DataFrame:
+def typed(raw: DataFrame, spec: TableDefinition, typed_raw: bool = False) -> DataFrame:
     """The cast projection; columns that the raw data lack are NULL, and the provenance columns pass through."""
     there = {c.lower(): c for c in raw.columns}
     out = []
@@ -86,7 +86,7 @@ def _same(a: DataFrame, b: DataFrame, keys: list[str]) -> Column:
     return out
 
 
-def merged(old: DataFrame, new: DataFrame, spec: TableSpec) -> DataFrame:
+def merged(old: DataFrame, new: DataFrame, spec: TableDefinition) -> DataFrame:
     """An upsert whose columns follow their merge strategies: replace, keep_minimum, keep_maximum, keep_existing; a merge
     condition (on o and n, the old and the new row) limits when a new value is taken at all."""
     keys = list(spec.primary_key)
@@ -133,7 +133,7 @@ def apply_post_rules(df: DataFrame, rules: tuple[tuple[str, str, str], ...]) ->
     return df
 
 
-def ingest_batch(old: DataFrame | None, raw: DataFrame, spec: TableSpec, typed_raw: bool = False) -> DataFrame:
+def ingest_batch(old: DataFrame | None, raw: DataFrame, spec: TableDefinition, typed_raw: bool = False) -> DataFrame:
     """What the table holds after a batch. Snapshot replaces; incremental without a key appends; with one it upserts."""
     new = typed(raw, spec, typed_raw)
     mode = spec.ingestion

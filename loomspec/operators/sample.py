@@ -11,7 +11,7 @@ from loomspec.functions.domains import infer
 from loomspec.functions.formats import to_java
 from loomspec.schema import MOMENTS, NUMBERS, TEXT_TYPES, may_be_null, spark_type
 from loomspec.spec import Column as ColumnSpec
-from loomspec.spec import TableSpec
+from loomspec.spec import TableDefinition
 
 #: Pools of names.
 POOLS = {
@@ -107,7 +107,7 @@ def value(c: ColumnSpec, seed: int, rules: dict | None = None) -> Column:
     return out
 
 
-def generate(spark: SparkSession, specs: dict[str, TableSpec], rows: int | dict[str, int], seed: int = 42, pools: dict[tuple[str, str], DataFrame] | None = None) -> dict[str, DataFrame]:
+def generate(spark: SparkSession, specs: dict[str, TableDefinition], rows: int | dict[str, int], seed: int = 42, pools: dict[tuple[str, str], DataFrame] | None = None) -> dict[str, DataFrame]:
     """A frame for each specification, parents first. Keys number their rows; foreign keys name rows of their parents, most
     often a few of them. pools gives keys of tables that exist already, as (table, column) -> one-column frame."""
     out: dict[str, DataFrame] = {}
@@ -150,7 +150,7 @@ def key_value(c: ColumnSpec, n: Column) -> Column:
     return n.cast(spark_type(c))
 
 
-def _by_foreign_keys(specs: dict[str, TableSpec]) -> list[str]:
+def _by_foreign_keys(specs: dict[str, TableDefinition]) -> list[str]:
     """Parents before children; what is in a cycle, or depends on one, comes last, by name."""
     from graphlib import CycleError, TopologicalSorter
 
@@ -164,7 +164,7 @@ def _by_foreign_keys(specs: dict[str, TableSpec]) -> list[str]:
         return done + sorted(set(needs) - set(done))
 
 
-def key_groups(specs: dict[str, TableSpec]) -> list[set[tuple[str, str]]]:
+def key_groups(specs: dict[str, TableDefinition]) -> list[set[tuple[str, str]]]:
     """Columns that share values because foreign keys link them, as sets of (table, column)."""
     up: dict[tuple[str, str], tuple[str, str]] = {}
 
@@ -183,7 +183,7 @@ def key_groups(specs: dict[str, TableSpec]) -> list[set[tuple[str, str]]]:
     return sorted(groups.values(), key=min)
 
 
-def as_raw(df: DataFrame, spec: TableSpec) -> DataFrame:
+def as_raw(df: DataFrame, spec: TableDefinition) -> DataFrame:
     """Typed rows as the text that a delimited source would hold."""
     out = []
     for c in spec.ordered():

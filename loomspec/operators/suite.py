@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from loomspec.operators.rules import Context, evaluate, row_test, stage, verdicts
 from loomspec.schema import MOMENTS, NUMBERS, TEXT_TYPES, may_be_null, spark_type
-from loomspec.spec import Rule, SpecError, TableSpec
+from loomspec.spec import Rule, SpecError, TableDefinition
 
 #: Prefixes of pairs of columns that begin and end something.
 STARTS, ENDS = ("start_", "begin_", "effective_", "from_"), ("end_", "stop_", "expiry_", "to_", "termination_")
@@ -37,7 +37,7 @@ class Score:
     blocking_failures: int = 0
 
 
-def baseline_rules(spec: TableSpec, typed_raw: bool = False) -> list[Rule]:
+def baseline_rules(spec: TableDefinition, typed_raw: bool = False) -> list[Rule]:
     """What a specification itself promises. typed_raw leaves out checks of the raw text's form."""
     names = [c.output_name for c in spec.ordered() if not c.internal]
     out = [Rule("table_column_count_to_equal", kwargs={"value": len(names)}, severity="critical", stage="ingested"), Rule("table_columns_to_match_set", kwargs={"column_set": tuple(names), "exact_match": False}, severity="critical", stage="ingested")]
@@ -67,7 +67,7 @@ def baseline_rules(spec: TableSpec, typed_raw: bool = False) -> list[Rule]:
     return out + date_ranges(spec) + foreign_keys(spec)
 
 
-def date_ranges(spec: TableSpec) -> list[Rule]:
+def date_ranges(spec: TableDefinition) -> list[Rule]:
     names = {c.name.lower(): c.name for c in spec.columns if c.type.upper() in MOMENTS}
     out = []
     for low, name in sorted(names.items()):
@@ -78,11 +78,11 @@ def date_ranges(spec: TableSpec) -> list[Rule]:
     return out
 
 
-def foreign_keys(spec: TableSpec) -> list[Rule]:
+def foreign_keys(spec: TableDefinition) -> list[Rule]:
     return [Rule("foreign_key_to_exist", c, {"table": t, "parent_column": p}, severity="error", stage="ingested") for c, t, p in spec.foreign_keys]
 
 
-def contract(spec: TableSpec) -> list[Rule]:
+def contract(spec: TableDefinition) -> list[Rule]:
     """Types and NULLs as declared."""
     own = [c for c in spec.ordered() if not c.internal]
     return [Rule("values_to_be_of_type", c.output_name, {"type_": spark_type(c).simpleString()}, severity="critical") for c in own] + [Rule("values_to_not_be_null", c.output_name, severity="critical") for c in own if not may_be_null(c)]

@@ -16,12 +16,12 @@ from loomspec.operators import relational as R
 from loomspec.operators.ingest import latest
 from loomspec.plans.resolve import Resolved, candidates, is_aggregate, numbered, resolve
 from loomspec.schema import TEXT_TYPES, spark_type
-from loomspec.spec import Candidate, SpecError, TableSpec
+from loomspec.spec import Candidate, SpecError, TableDefinition
 from loomspec.spec import Column as ColumnSpec
 
 
 class Compiler:
-    def __init__(self, spark: SparkSession, tables: dict[str, DataFrame], specs: dict[str, TableSpec] | None = None, variables: dict[str, str] | None = None):
+    def __init__(self, spark: SparkSession, tables: dict[str, DataFrame], specs: dict[str, TableDefinition] | None = None, variables: dict[str, str] | None = None):
         self.spark, self.variables = spark, variables or {}
         self.specs = specs or {}
         self.tables = {name: self._overlaid(name, df) for name, df in tables.items()}
@@ -49,7 +49,7 @@ class Compiler:
             raise SpecError(f"no table {name!r}")
         return self.tables[name]
 
-    def compile(self, target: TableSpec) -> DataFrame:
+    def compile(self, target: TableDefinition) -> DataFrame:
         plan = resolve(target, self.specs)
         frame = self._base(target, plan)
         for r in plan.joins:
@@ -60,7 +60,7 @@ class Compiler:
 
     # base views
 
-    def _base(self, target: TableSpec, plan: Resolved) -> DataFrame:
+    def _base(self, target: TableDefinition, plan: Resolved) -> DataFrame:
         m = target.metadata
         if m.base_strategy == "union_sources":
             return R.key_universe([(self._table(t), self._text(k)) for t, k in m.union_sources], m.union_key or target.primary_key[0])
@@ -80,7 +80,7 @@ class Compiler:
             return self._grouped(base, target, plan.base)
         return base
 
-    def _grouped(self, base: DataFrame, target: TableSpec, name: str) -> DataFrame:
+    def _grouped(self, base: DataFrame, target: TableDefinition, name: str) -> DataFrame:
         keys, aggregates = [], []
         for column, x in candidates(target):
             if x.table not in (None, name):
@@ -93,7 +93,7 @@ class Compiler:
             raise SpecError(f"{target.name}: an aggregated source needs a key")
         return base.groupBy(*keys).agg(*aggregates)
 
-    def _branches(self, target: TableSpec) -> DataFrame:
+    def _branches(self, target: TableDefinition) -> DataFrame:
         m, out = target.metadata, []
         for table in m.branches:
             df = self._table(table)
@@ -127,13 +127,13 @@ class Compiler:
 
     # joins
 
-    def _sources(self, target: TableSpec, r) -> DataFrame:
+    def _sources(self, target: TableDefinition, r) -> DataFrame:
         """The joined table with the expressions that the target's candidates want of it."""
         df = self._table(r.table)
         wanted = {name: x for name, x in candidates(target) if x.source == r.alias and x.expression}
         return df.withColumns({f"__x_{n}": F.expr(self._text(x.expression)) for n, x in wanted.items()}) if wanted else df
 
-    def _join(self, frame: DataFrame, target: TableSpec, r) -> DataFrame:
+    def _join(self, frame: DataFrame, target: TableDefinition, r) -> DataFrame:
         right, where = self._sources(target, r), self._text(r.filter)
         keys = [(self._text(a), self._text(b)) for a, b in r.keys]
         if r.strategy == "alternative_path":
@@ -156,7 +156,7 @@ class Compiler:
         named = lambda word: sorted(c for c in right.columns if word in c.lower())[:1]
         return tuple(f"{c} asc" for c in dict.fromkeys(named("type") + named("name")))
 
-    def _aggregate(self, frame: DataFrame, target: TableSpec, plan: Resolved, source: str, names: tuple[str, ...]) -> DataFrame:
+    def _aggregate(self, frame: DataFrame, target: TableDefinition, plan: Resolved, source: str, names: tuple[str, ...]) -> DataFrame:
         found = [(n, x) for n, x in candidates(target) if x.source == source and n in names]
         first = found[0][1]
         r = next((x for x in (*target.relationships, *(self.specs[plan.base].relationships if plan.base in self.specs else ())) if x.alias == source), None)
@@ -186,7 +186,7 @@ class Compiler:
 
     # final columns
 
-    def _value(self, frame: DataFrame, target: TableSpec, plan: Resolved, column: ColumnSpec, x: Candidate) -> Column:
+    def _value(self, frame: DataFrame, target: TableDefinition, plan: Resolved, column: ColumnSpec, x: Candidate) -> Column:
         if x.source is None or x.source == plan.base:
             return F.expr(self._text(x.expression)) if x.expression else F.col(x.column)
         if x.expression or x.order_by:
@@ -198,7 +198,7 @@ class Compiler:
                 return F.col(f"{x.source}__{joined.pivot_column or x.column}_{n}")
         return F.col(f"{x.source}__{x.column}")
 
-    def column(self, frame: DataFrame, target: TableSpec, plan: Resolved, c: ColumnSpec) -> Column:
+    def column(self, frame: DataFrame, target: TableDefinition, plan: Resolved, c: ColumnSpec) -> Column:
         d, kind = c.derivation, spark_type(c)
         default = d.default if d and d.default is not None else c.default
         literal = F.lit(default).cast(kind) if default is not None else None
@@ -215,7 +215,7 @@ class Compiler:
         stamps = [self._value(frame, target, plan, c, replace(x, column=x.order_by[0], expression=None, order_by=())) for x in ordered] if d.strategy == "most_recent" else ()
         return R.survivor(values, d.strategy, literal, c.type.upper() in TEXT_TYPES, stamps).cast(kind)
 
-    def _final(self, frame: DataFrame, target: TableSpec, plan: Resolved) -> DataFrame:
+    def _final(self, frame: DataFrame, target: TableDefinition, plan: Resolved) -> DataFrame:
         m = target.metadata
         columns = [self.column(frame, target, plan, c).alias(c.output_name) for c in target.ordered()]
         taken = {c.output_name for c in target.columns}
@@ -232,5 +232,5 @@ class Compiler:
         return out
 
 
-def compile_table(spark: SparkSession, target: TableSpec, tables: dict[str, DataFrame], specs: dict[str, TableSpec] | None = None, variables: dict[str, str] | None = None) -> DataFrame:
+def compile_table(spark: SparkSession, target: TableDefinition, tables: dict[str, DataFrame], specs: dict[str, TableDefinition] | None = None, variables: dict[str, str] | None = None) -> DataFrame:
     return Compiler(spark, tables, specs, variables).compile(target)

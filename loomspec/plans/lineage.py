@@ -10,10 +10,10 @@ from pyspark.sql import DataFrame, SparkSession
 
 from loomspec.plans.resolve import candidates, is_aggregate
 from loomspec.schema import may_be_null, widens
-from loomspec.spec import SpecError, TableSpec, to_dict
+from loomspec.spec import SpecError, TableDefinition, to_dict
 
 
-def inputs(spec: TableSpec) -> set[str]:
+def inputs(spec: TableDefinition) -> set[str]:
     """The tables that a derived table reads."""
     m = spec.metadata
     found = {x.table for _, x in candidates(spec) if x.table} | {r.table for r in spec.relationships} | {r.bridge for r in spec.relationships if r.bridge}
@@ -21,7 +21,7 @@ def inputs(spec: TableSpec) -> set[str]:
     return found - {spec.name}
 
 
-def build_order(specs: dict[str, TableSpec]) -> list[str]:
+def build_order(specs: dict[str, TableDefinition]) -> list[str]:
     """Inputs before what is made of them; ties by name. A cycle is an error that names it."""
     sorter = TopologicalSorter({n: sorted(inputs(s) & set(specs)) for n, s in sorted(specs.items())})
     try:
@@ -30,7 +30,7 @@ def build_order(specs: dict[str, TableSpec]) -> list[str]:
         raise SpecError(f"cycle: {' -> '.join(e.args[1])}") from e
 
 
-def dangling(specs: dict[str, TableSpec]) -> list[tuple[str, str, str]]:
+def dangling(specs: dict[str, TableDefinition]) -> list[tuple[str, str, str]]:
     """(table, kind, reference) of references to tables or columns that no specification has."""
     out = []
     for n, s in sorted(specs.items()):
@@ -44,19 +44,19 @@ def dangling(specs: dict[str, TableSpec]) -> list[tuple[str, str, str]]:
     return out
 
 
-def roles(specs: dict[str, TableSpec]) -> dict[str, str]:
+def roles(specs: dict[str, TableDefinition]) -> dict[str, str]:
     """SOURCE without inputs, GOLD where nothing reads it, INTERMEDIATE between; INGESTED has a source of its own."""
     read = {t for s in specs.values() for t in inputs(s)}
     return {n: ("INGESTED" if s.source else "SOURCE") if not inputs(s) else "INTERMEDIATE" if n in read else "GOLD" for n, s in specs.items()}
 
 
-def to_materialize(specs: dict[str, TableSpec]) -> set[str]:
+def to_materialize(specs: dict[str, TableDefinition]) -> set[str]:
     """Derived tables that several others read."""
     readers = {n: sum(n in inputs(s) for s in specs.values()) for n in specs}
     return {n for n, k in readers.items() if k > 1 and inputs(specs[n])}
 
 
-def consumers(spark: SparkSession, specs: dict[str, TableSpec]) -> DataFrame:
+def consumers(spark: SparkSession, specs: dict[str, TableDefinition]) -> DataFrame:
     """Reverse lineage: (source_table, source_column, target_table, target_column, usage)."""
     rows = []
     for n, s in sorted(specs.items()):
@@ -68,11 +68,11 @@ def consumers(spark: SparkSession, specs: dict[str, TableSpec]) -> DataFrame:
     return spark.createDataFrame(rows, "source_table string, source_column string, target_table string, target_column string, usage string")
 
 
-def fingerprint(spec: TableSpec) -> str:
+def fingerprint(spec: TableDefinition) -> str:
     return hashlib.sha256(json.dumps(to_dict(spec), sort_keys=True, default=str).encode()).hexdigest()
 
 
-def changed(old: dict[str, TableSpec], new: dict[str, TableSpec]) -> list[str]:
+def changed(old: dict[str, TableDefinition], new: dict[str, TableDefinition]) -> list[str]:
     """Tables to build again: those whose specification differs, and all that are made of them, in build order."""
     dirty = {n for n, s in new.items() if n not in old or fingerprint(old[n]) != fingerprint(s)}
     out = []
@@ -83,7 +83,7 @@ def changed(old: dict[str, TableSpec], new: dict[str, TableSpec]) -> list[str]:
     return out
 
 
-def compatibility(old: TableSpec, new: TableSpec) -> list[tuple[str, str, bool]]:
+def compatibility(old: TableDefinition, new: TableDefinition) -> list[tuple[str, str, bool]]:
     """(change, column, breaking) between two versions; a column is the same if its name or an alias is."""
     out, before = [], {c.name: c for c in old.columns}
     after = {c.name: c for c in new.columns}
@@ -107,7 +107,7 @@ def compatibility(old: TableSpec, new: TableSpec) -> list[tuple[str, str, bool]]
     return out
 
 
-def diff(old: TableSpec, new: TableSpec) -> dict[str, list[str]]:
+def diff(old: TableDefinition, new: TableDefinition) -> dict[str, list[str]]:
     """Added, removed and changed columns and rules."""
     out = {}
     for kind, a, b in (("columns", {c.name: c for c in old.columns}, {c.name: c for c in new.columns}), ("rules", {r.id: r for r in old.rules}, {r.id: r for r in new.rules})):
@@ -115,7 +115,7 @@ def diff(old: TableSpec, new: TableSpec) -> dict[str, list[str]]:
     return out | {"metadata": sorted(k for k in {**to_dict(old.metadata), **to_dict(new.metadata)} if to_dict(old.metadata).get(k) != to_dict(new.metadata).get(k))}
 
 
-def manifest(specs: dict[str, TableSpec]) -> str:
+def manifest(specs: dict[str, TableDefinition]) -> str:
     """What is built, in which order, from which specification, as JSON."""
     kinds = roles(specs)
     return json.dumps([{"table": n, "role": kinds[n], "inputs": sorted(inputs(specs[n])), "fingerprint": fingerprint(specs[n])} for n in build_order(specs)], indent=2)

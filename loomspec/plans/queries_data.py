@@ -18,7 +18,7 @@ from loomspec.plans.queries_gold import col, of, tables
 from loomspec.schema import spark_type
 from loomspec.sources.readers import json_column
 from loomspec.sources.sinks import format_for_output
-from loomspec.spec import Column, Ingestion, Metadata, Relationship, TableSpec
+from loomspec.spec import Column, Ingestion, Metadata, Relationship, TableDefinition
 
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -58,7 +58,7 @@ RAW_SQL = "(SELECT " + ", ".join(f"{e.replace('AS string', 'AS VARCHAR')} AS {n}
 
 
 def cast_query(name: str, columns: tuple[Column, ...], sql: dict[str, str] | None = None) -> None:
-    spec = TableSpec("typed_lines", (Column("id"), *columns))
+    spec = TableDefinition("typed_lines", (Column("id"), *columns))
 
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         out = I.typed(raw_lines(spark, sf_dir), spec)
@@ -89,7 +89,7 @@ def ingest_multi_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # Batches of the same key: the events of a user and type, in three parts of the month.
 
-EVENTS = TableSpec("user_events", (Column("user_id", "BIGINT", position=1), Column("event_type", position=2), Column("event_id", "BIGINT", position=3), Column("value", "DOUBLE", position=4), Column("ts", "TIMESTAMP", position=5)), ("user_id", "event_type"), ingestion=Ingestion("incremental", ("value desc", "event_id desc")))
+EVENTS = TableDefinition("user_events", (Column("user_id", "BIGINT", position=1), Column("event_type", position=2), Column("event_id", "BIGINT", position=3), Column("value", "DOUBLE", position=4), Column("ts", "TIMESTAMP", position=5)), ("user_id", "event_type"), ingestion=Ingestion("incremental", ("value desc", "event_id desc")))
 _PARTS = ("event_id % 3 = 0", "event_id % 3 = 1 AND event_type <> 'view'", "event_id % 3 = 2 AND user_id % 2 = 0")
 _E = "user_id, event_type, event_id, value"
 
@@ -99,15 +99,15 @@ def batches(spark: SparkSession, sf_dir: str) -> list[DataFrame]:
     return [events.where(p) for p in _PARTS]
 
 
-def _ingested(spark: SparkSession, sf_dir: str, spec: TableSpec) -> DataFrame:
+def _ingested(spark: SparkSession, sf_dir: str, spec: TableDefinition) -> DataFrame:
     out = None
     for b in batches(spark, sf_dir):
         out = I.ingest_batch(out, b, spec, typed_raw=True)
     return out
 
 
-def _changed(spec: TableSpec, **more) -> TableSpec:
-    return TableSpec(**(spec.__dict__ | more))
+def _changed(spec: TableDefinition, **more) -> TableDefinition:
+    return TableDefinition(**(spec.__dict__ | more))
 
 
 _LATEST = "SELECT {e} FROM events WHERE {p} QUALIFY row_number() OVER (PARTITION BY user_id, event_type ORDER BY value DESC, event_id DESC) = 1"
@@ -180,7 +180,7 @@ def json_projection(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("SELECT o_orderkey, strftime(o_orderdate, '%m/%d/%Y') AS o_orderdate, coalesce(nullif(o_orderpriority, '1-URGENT'), '<none>') AS o_orderpriority FROM orders")
 def output_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     orders = tables(spark, sf_dir, "orders")["orders"].select("o_orderkey", "o_orderdate", F.nullif("o_orderpriority", F.lit("1-URGENT")).alias("o_orderpriority"))
-    return format_for_output(orders, TableSpec("out", (Column("o_orderkey", "BIGINT"), Column("o_orderdate", "TIMESTAMP", format="MM/DD/YYYY"), Column("o_orderpriority", null_output_value="<none>"))))
+    return format_for_output(orders, TableDefinition("out", (Column("o_orderkey", "BIGINT"), Column("o_orderdate", "TIMESTAMP", format="MM/DD/YYYY"), Column("o_orderpriority", null_output_value="<none>"))))
 
 
 @query("SELECT c_custkey, sha256(concat_ws('|', c_name, nullif(c_nationkey, 3)::VARCHAR, c_mktsegment)) AS checksum FROM customer")
@@ -369,15 +369,15 @@ def schema_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def lineage_consumers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    specs = {"orders": TableSpec("orders", (Column("o_orderkey", "BIGINT"), Column("o_custkey", "BIGINT"))), "customer": TableSpec("customer", (Column("c_custkey", "BIGINT"), Column("c_name")))}
-    specs["enriched"] = TableSpec("enriched", (col("o_orderkey", "BIGINT", of("orders", "o_orderkey")), col("c_name", "VARCHAR", of("customer", "c_name"))), relationships=(Relationship("customer", (("o_custkey", "c_custkey"),)),), metadata=Metadata("orders"))
-    specs["names"] = TableSpec("names", (col("c_name", "VARCHAR", of("enriched", "c_name")), col("n", "BIGINT", of("enriched", None, "count(*)"))), metadata=Metadata("enriched", "aggregate_source"))
+    specs = {"orders": TableDefinition("orders", (Column("o_orderkey", "BIGINT"), Column("o_custkey", "BIGINT"))), "customer": TableDefinition("customer", (Column("c_custkey", "BIGINT"), Column("c_name")))}
+    specs["enriched"] = TableDefinition("enriched", (col("o_orderkey", "BIGINT", of("orders", "o_orderkey")), col("c_name", "VARCHAR", of("customer", "c_name"))), relationships=(Relationship("customer", (("o_custkey", "c_custkey"),)),), metadata=Metadata("orders"))
+    specs["names"] = TableDefinition("names", (col("c_name", "VARCHAR", of("enriched", "c_name")), col("n", "BIGINT", of("enriched", None, "count(*)"))), metadata=Metadata("enriched", "aggregate_source"))
     return consumers(spark, specs)
 
 
 @query()
 def sample_data(spark: SparkSession, sf_dir: str) -> DataFrame:
-    specs = {"parent": TableSpec("parent", (Column("parent_id", "INTEGER", nullable=False), Column("first_name"), Column("email")), ("parent_id",)), "child": TableSpec("child", (Column("child_id", "INTEGER", nullable=False), Column("parent_id", "INTEGER", nullable=False), Column("state"), Column("amount", "DECIMAL", precision=8, scale=2)), ("child_id",), foreign_keys=(("parent_id", "parent", "parent_id"),))}
+    specs = {"parent": TableDefinition("parent", (Column("parent_id", "INTEGER", nullable=False), Column("first_name"), Column("email")), ("parent_id",)), "child": TableDefinition("child", (Column("child_id", "INTEGER", nullable=False), Column("parent_id", "INTEGER", nullable=False), Column("state"), Column("amount", "DECIMAL", precision=8, scale=2)), ("child_id",), foreign_keys=(("parent_id", "parent", "parent_id"),))}
     made = generate(spark, specs, {"parent": 50, "child": 500})
     return made["child"].join(made["parent"], "parent_id").select("child_id", "parent_id", "state", "amount", "email")
 
@@ -422,7 +422,7 @@ def stream_constraints(spark: SparkSession, sf_dir: str) -> DataFrame:
     from loomspec.streaming.pipeline import ingest_stream
 
     stream, root = _streamed(spark, sf_dir, "constraints")
-    spec = TableSpec("clean", (Column("event_id", "BIGINT", position=1), Column("user_id", "BIGINT", position=2), Column("event_type", position=3), Column("value", "DOUBLE", position=4)), ingestion=Ingestion("incremental"))
+    spec = TableDefinition("clean", (Column("event_id", "BIGINT", position=1), Column("user_id", "BIGINT", position=2), Column("event_type", position=3), Column("value", "DOUBLE", position=4)), ingestion=Ingestion("incremental"))
     rules = [Rule("values_to_not_be_in_set", "event_type", {"value_set": ("error",)}), Rule("values_to_be_between", "value", {"max_value": 90}, severity="error"), Rule("values_to_be_between", "value", {"max_value": 50}, severity="info")]
     ingest_stream(stream, spec, f"{root}/out", f"{root}/checkpoint", rules, f"{root}/bad").awaitTermination()
     return VersionedTable(spark, f"{root}/out").read()

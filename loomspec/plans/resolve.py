@@ -5,7 +5,7 @@ from __future__ import annotations
 import re
 from dataclasses import dataclass, replace
 
-from loomspec.spec import Candidate, Relationship, SpecError, TableSpec
+from loomspec.spec import Candidate, Relationship, SpecError, TableDefinition
 
 #: Words that mark an expression as an aggregate where no analyzer is at hand.
 AGGREGATES = re.compile(r"\b(COUNT|MIN|MAX|MAX_BY|MIN_BY|SUM|AVG|FIRST|LAST|STDDEV|COLLECT_LIST|COLLECT_SET)\s*\(", re.I)
@@ -23,11 +23,11 @@ def is_aggregate(expression: str | None) -> bool:
     return bool(expression and AGGREGATES.search(expression))
 
 
-def candidates(target: TableSpec) -> list[tuple[str, Candidate]]:
+def candidates(target: TableDefinition) -> list[tuple[str, Candidate]]:
     return [(c.name, x) for c in target.columns if c.derivation for x in c.derivation.candidates]
 
 
-def contributions(target: TableSpec) -> dict[str, int]:
+def contributions(target: TableDefinition) -> dict[str, int]:
     """How many columns each source (table or instance) may fill."""
     out: dict[str, int] = {}
     for _, x in candidates(target):
@@ -36,7 +36,7 @@ def contributions(target: TableSpec) -> dict[str, int]:
     return out
 
 
-def infer_base(target: TableSpec, specs: dict[str, TableSpec]) -> str | None:
+def infer_base(target: TableDefinition, specs: dict[str, TableDefinition]) -> str | None:
     """The declared base; else, of the contributing tables, the one with the highest hub score, then most relationships, then the first name."""
     if target.metadata.base_table:
         return target.metadata.base_table
@@ -49,7 +49,7 @@ def infer_base(target: TableSpec, specs: dict[str, TableSpec]) -> str | None:
     return min(tables, key=rank)
 
 
-def infer_keys(base: TableSpec, other: TableSpec) -> tuple[tuple[str, str], ...]:
+def infer_keys(base: TableDefinition, other: TableDefinition) -> tuple[tuple[str, str], ...]:
     """Shared primary key columns; else a shared key that looks like a member's, client's or user's; else any shared id."""
     ours, theirs = {c.name.lower(): c.name for c in base.columns}, {c.name.lower(): c.name for c in other.columns}
     shared = [k for k in (x.lower() for x in other.primary_key) if k in ours]
@@ -62,14 +62,14 @@ def infer_keys(base: TableSpec, other: TableSpec) -> tuple[tuple[str, str], ...]
     raise SpecError(f"no join keys between {base.name} and {other.name}")
 
 
-def score(r: Relationship, target: TableSpec, specs: dict[str, TableSpec]) -> float:
+def score(r: Relationship, target: TableDefinition, specs: dict[str, TableDefinition]) -> float:
     """Of several relationships to a table the best: by confidence, cardinality, keys that are primary, and contribution."""
     by_cardinality = {"1:1": 5, "N:1": 3, "1:N": -2, "1:0..N": -2}.get(r.cardinality, 0)
     primary = 2 if r.table in specs and set(specs[r.table].primary_key) == {b for _, b in r.keys} and r.keys else 0
     return 10 * r.confidence + by_cardinality + primary + contributions(target).get(r.alias, 0)
 
 
-def infer_strategy(r: Relationship, target: TableSpec) -> str:
+def infer_strategy(r: Relationship, target: TableDefinition) -> str:
     """1:N joins pivot where the target has numbered columns of one source column, and take the first record otherwise."""
     if r.strategy:
         return r.strategy
@@ -80,7 +80,7 @@ def infer_strategy(r: Relationship, target: TableSpec) -> str:
     return "pivot" if len(numbered(target, r)) >= 2 else "first_record"
 
 
-def numbered(target: TableSpec, r: Relationship) -> list[tuple[str, int]]:
+def numbered(target: TableDefinition, r: Relationship) -> list[tuple[str, int]]:
     """(target column, n) of columns name_1, name_2, ... that one source column of r fills."""
     out = []
     for name, x in candidates(target):
@@ -89,7 +89,7 @@ def numbered(target: TableSpec, r: Relationship) -> list[tuple[str, int]]:
     return sorted(out, key=lambda p: p[1])
 
 
-def resolve(target: TableSpec, specs: dict[str, TableSpec]) -> Resolved:
+def resolve(target: TableDefinition, specs: dict[str, TableDefinition]) -> Resolved:
     base = infer_base(target, specs)
     counts = contributions(target)
     declared: dict[str, Relationship] = {}

@@ -7,7 +7,7 @@ import re
 
 from pyspark.sql import types as T
 
-from loomspec.spec import Column, SpecError, TableSpec
+from loomspec.spec import Column, SpecError, TableDefinition
 
 #: Which type may become which without loss.
 WIDENINGS = {("INTEGER", "DECIMAL"), ("INTEGER", "FLOAT"), ("CHAR", "VARCHAR"), ("CHAR", "TEXT"), ("VARCHAR", "TEXT"), ("DATE", "DATETIME"), ("DATE", "TIMESTAMP"), ("DATETIME", "TIMESTAMP")}
@@ -32,11 +32,11 @@ def may_be_null(c: Column) -> bool:
     return any(c.nullable.values()) if isinstance(c.nullable, dict) else bool(c.nullable)
 
 
-def struct_type(spec: TableSpec, internal: bool = False) -> T.StructType:
+def struct_type(spec: TableDefinition, internal: bool = False) -> T.StructType:
     return T.StructType([T.StructField(c.output_name, spark_type(c), may_be_null(c), {"type": c.type} | ({"length": c.length} if c.length else {})) for c in spec.ordered() if internal or not c.internal])
 
 
-def ddl(spec: TableSpec) -> str:
+def ddl(spec: TableDefinition) -> str:
     """CREATE TABLE text."""
     rows = [f"  `{c.output_name}` {spark_type(c).simpleString().upper()}{'' if may_be_null(c) else ' NOT NULL'}{f" COMMENT {sql_text(c.description)}" if c.description else ''}" for c in spec.ordered() if not c.internal]
     return f"CREATE TABLE `{spec.name}` (\n" + ",\n".join(rows) + "\n)"
@@ -46,7 +46,7 @@ def sql_text(x: str) -> str:
     return "'" + x.replace("\\", "\\\\").replace("'", "\\'") + "'"
 
 
-def json_schema(spec: TableSpec) -> str:
+def json_schema(spec: TableDefinition) -> str:
     kinds = {"INTEGER": "integer", "INT": "integer", "BIGINT": "integer", "DECIMAL": "number", "FLOAT": "number", "DOUBLE": "number", "BOOLEAN": "boolean", "EMBEDDING": "array"}
     props = {}
     for c in spec.ordered():
@@ -80,8 +80,8 @@ def reflect_type(dtype: T.DataType) -> dict:
     return {"type": "VARCHAR"}
 
 
-def reflect_schema(name: str, schema: T.StructType, primary_key: tuple[str, ...] = ()) -> TableSpec:
-    return TableSpec(name, tuple(Column(f.name, nullable=f.nullable, position=i + 1, **reflect_type(f.dataType)) for i, f in enumerate(schema.fields)), primary_key)
+def reflect_schema(name: str, schema: T.StructType, primary_key: tuple[str, ...] = ()) -> TableDefinition:
+    return TableDefinition(name, tuple(Column(f.name, nullable=f.nullable, position=i + 1, **reflect_type(f.dataType)) for i, f in enumerate(schema.fields)), primary_key)
 
 
 def reflect_sql_type(declared: str) -> dict:
@@ -102,7 +102,7 @@ def reflect_sql_type(declared: str) -> dict:
     return {"type": "VARCHAR"}
 
 
-def reflect_information_schema(columns: list[dict], keys: list[dict] = (), references: list[dict] = ()) -> list[TableSpec]:
+def reflect_information_schema(columns: list[dict], keys: list[dict] = (), references: list[dict] = ()) -> list[TableDefinition]:
     """Specifications from rows of INFORMATION_SCHEMA: columns (table_name, column_name, data_type, is_nullable,
     ordinal_position), primary keys (table_name, column_name, ordinal_position), and foreign keys (table_name, column_name,
     referenced_table, referenced_column, ordinal_position). Composite keys keep the order of their ordinals."""
@@ -111,5 +111,5 @@ def reflect_information_schema(columns: list[dict], keys: list[dict] = (), refer
         own = sorted((c for c in columns if c["table_name"] == table), key=lambda c: c["ordinal_position"])
         pk = [k["column_name"] for k in sorted((k for k in keys if k["table_name"] == table), key=lambda k: k["ordinal_position"])]
         fk = [(r["column_name"], r["referenced_table"], r["referenced_column"]) for r in sorted((r for r in references if r["table_name"] == table), key=lambda r: (r["referenced_table"], r["ordinal_position"]))]
-        out.append(TableSpec(table, tuple(Column(c["column_name"], nullable=str(c.get("is_nullable", "YES")).upper() == "YES", position=c["ordinal_position"], **reflect_sql_type(c["data_type"])) for c in own), tuple(pk), foreign_keys=tuple(fk)))
+        out.append(TableDefinition(table, tuple(Column(c["column_name"], nullable=str(c.get("is_nullable", "YES")).upper() == "YES", position=c["ordinal_position"], **reflect_sql_type(c["data_type"])) for c in own), tuple(pk), foreign_keys=tuple(fk)))
     return out

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from loomspec.spec import Source, SpecError, TableSpec
+from loomspec.spec import Source, SpecError, TableDefinition
 
 #: Names for record separators.
 LINE_ENDS = {"CRLF": "\r\n", "LF": "\n", "CR": "\r"}
@@ -29,7 +29,7 @@ def all_text(names: list[str]) -> T.StructType:
     return T.StructType([T.StructField(n, T.StringType()) for n in names])
 
 
-def read_delimited(spark: SparkSession, spec: TableSpec) -> DataFrame:
+def read_delimited(spark: SparkSession, spec: TableDefinition) -> DataFrame:
     source = spec.source
     if any(source.options.get(q) for q in QUIRKS):
         return read_quirky(spark, spec)
@@ -39,7 +39,7 @@ def read_delimited(spark: SparkSession, spec: TableSpec) -> DataFrame:
     return reader.csv(source.path)
 
 
-def read_quirky(spark: SparkSession, spec: TableSpec) -> DataFrame:
+def read_quirky(spark: SparkSession, spec: TableDefinition) -> DataFrame:
     """Preamble and trailer rows, record separators of several characters, comment lines, and an escape for NULL.
 
     Lines are numbered within files by their place in the distributed scan: only counts per partition reach the driver.
@@ -73,7 +73,7 @@ def read_quirky(spark: SparkSession, spec: TableSpec) -> DataFrame:
     return cells.select(*(F.when(~F.col(f"`{n}`").isin(nulls), F.col(f"`{n}`")).alias(n) for n in names))
 
 
-def read_parquet(spark: SparkSession, spec: TableSpec) -> DataFrame:
+def read_parquet(spark: SparkSession, spec: TableDefinition) -> DataFrame:
     return spark.read.parquet(spec.source.path)
 
 
@@ -91,7 +91,7 @@ def project_paths(df: DataFrame, projection: dict[str, str]) -> DataFrame:
     return df.select(*(F.col(".".join(f"`{x}`" for x in path.split("."))).alias(name) for name, path in projection.items()))
 
 
-def read_json(spark: SparkSession, spec: TableSpec) -> DataFrame:
+def read_json(spark: SparkSession, spec: TableDefinition) -> DataFrame:
     df = spark.read.option("multiLine", bool(spec.source.options.get("multiline", False))).json(spec.source.path)
     return project_paths(df, spec.source.projection) if spec.source.projection else df
 
@@ -118,14 +118,14 @@ def jdbc_options(source: Source, secrets: Callable[[str], str | None] | None = N
     return out | {parts[k]: str(o[k]) for k in given}
 
 
-def read_jdbc(spark: SparkSession, spec: TableSpec, secrets: Callable[[str], str | None] | None = None) -> DataFrame:
+def read_jdbc(spark: SparkSession, spec: TableDefinition, secrets: Callable[[str], str | None] | None = None) -> DataFrame:
     return spark.read.format("jdbc").options(**jdbc_options(spec.source, secrets)).load()
 
 
 READERS = {"delimited": read_delimited, "parquet": read_parquet, "json": read_json, "jdbc": read_jdbc}
 
 
-def read(spark: SparkSession, spec: TableSpec) -> DataFrame:
+def read(spark: SparkSession, spec: TableDefinition) -> DataFrame:
     if spec.source is None:
         raise SpecError(f"{spec.name} has no source")
     return READERS[spec.source.kind](spark, spec)
@@ -142,7 +142,7 @@ def quoted(name: str, dialect: str = "ansi") -> str:
     return "[" + name.replace("]", "]]") + "]" if dialect == "sqlserver" else '"' + name.replace('"', '""') + '"'
 
 
-def map_header(df: DataFrame, spec: TableSpec) -> DataFrame:
+def map_header(df: DataFrame, spec: TableDefinition) -> DataFrame:
     """Columns renamed to the specification's, by name, canonical name or alias, without regard to case and outer space."""
     known = {}
     for c in spec.columns:

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from loomspec.functions.formats import to_java
-from loomspec.spec import TableSpec
+from loomspec.spec import TableDefinition
 
 
 def _fs(spark: SparkSession, path: str):
@@ -53,7 +53,7 @@ class VersionedTable:
         context.rename(fs.makeQualified(temp), fs.makeQualified(pointer), how)
 
 
-def format_for_output(df: DataFrame, spec: TableSpec) -> DataFrame:
+def format_for_output(df: DataFrame, spec: TableDefinition) -> DataFrame:
     """Dates and timestamps by their pattern, and NULLs by their text, where the specification has them."""
     columns = {c.output_name: c for c in spec.columns}
     out = []

@@ -184,7 +184,7 @@ class Rule:
 
 
 @dataclass(frozen=True)
-class TableSpec:
+class TableDefinition:
     name: str
     columns: tuple[Column, ...] = ()
     primary_key: tuple[str, ...] = ()
@@ -240,8 +240,8 @@ def _build(kind: type, raw: dict[str, Any]) -> Any:
     return kind(**made)
 
 
-def from_dict(raw: dict[str, Any]) -> TableSpec:
-    return _build(TableSpec, raw)
+def from_dict(raw: dict[str, Any]) -> TableDefinition:
+    return _build(TableDefinition, raw)
 
 
 def to_dict(spec: Any) -> dict[str, Any]:
@@ -266,7 +266,7 @@ def _plain(v: Any) -> Any:
     return v
 
 
-def load(path: str | Path) -> TableSpec:
+def load(path: str | Path) -> TableDefinition:
     """From a JSON or YAML file, or a folder of table.yaml and columns/*.yaml."""
     path = Path(path)
     if path.is_dir():
@@ -282,7 +282,7 @@ def load(path: str | Path) -> TableSpec:
     return from_dict(yaml.safe_load(path.read_text()))
 
 
-def save(spec: TableSpec, path: str | Path) -> None:
+def save(spec: TableDefinition, path: str | Path) -> None:
     """As JSON or YAML by the suffix; without one, as a folder."""
     path = Path(path)
     raw = to_dict(spec)

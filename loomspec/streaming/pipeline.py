@@ -16,7 +16,7 @@ from pyspark.sql.streaming import StreamingQuery
 from loomspec.operators.ingest import latest, max_sequence, typed, upsert
 from loomspec.operators.suite import enforce
 from loomspec.sources.sinks import VersionedTable
-from loomspec.spec import Rule, TableSpec
+from loomspec.spec import Rule, TableDefinition
 
 
 def file_stream(spark: SparkSession, path: str, schema: T.StructType, kind: str = "parquet", files_per_batch: int | None = None, **options) -> DataFrame:
@@ -69,7 +69,7 @@ def snapshot_stream(stream: DataFrame, path: str, checkpoint: str) -> StreamingQ
     return stream.writeStream.foreachBatch(lambda batch, _: table.write(batch)).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def ingest_stream(raw: DataFrame, spec: TableSpec, path: str, checkpoint: str, rules: list[Rule] = (), quarantine: str | None = None) -> StreamingQuery:
+def ingest_stream(raw: DataFrame, spec: TableDefinition, path: str, checkpoint: str, rules: list[Rule] = (), quarantine: str | None = None) -> StreamingQuery:
     """Typed rows by the specification's mode. Rows that break a rule are set aside, or stop the stream, by its severity;
     counts of both are observed as metrics of each batch."""
     spark, mode = raw.sparkSession, spec.ingestion

@@ -1,7 +1,7 @@
 from loomspec.operators import ingest as I
-from loomspec.spec import Column, Ingestion, TableSpec
+from loomspec.spec import Column, Ingestion, TableDefinition
 
-SPEC = TableSpec("t", (Column("k", "VARCHAR", position=1), Column("v", "INTEGER", position=2)), ("k",), ingestion=Ingestion("incremental"))
+SPEC = TableDefinition("t", (Column("k", "VARCHAR", position=1), Column("v", "INTEGER", position=2)), ("k",), ingestion=Ingestion("incremental"))
 
 
 def raw(spark, data):
@@ -24,7 +24,7 @@ def test_later_batch_wins_even_if_older(spark, rows):
 
 
 def test_max_sequence(spark, rows):
-    spec = TableSpec(**(SPEC.__dict__ | {"ingestion": Ingestion("incremental", policy="max_sequence_wins")}))
+    spec = TableDefinition(**(SPEC.__dict__ | {"ingestion": Ingestion("incremental", policy="max_sequence_wins")}))
     assert ("a", 2) in rows(run(spark, spec, FIRST, SECOND))
 
 
@@ -33,9 +33,9 @@ def test_upsert_is_idempotent(spark, rows):
 
 
 def test_append_and_snapshot(spark, rows):
-    append = TableSpec(**(SPEC.__dict__ | {"primary_key": ()}))
+    append = TableDefinition(**(SPEC.__dict__ | {"primary_key": ()}))
     assert len(rows(run(spark, append, FIRST, SECOND, SECOND))) == 8
-    snapshot = TableSpec(**(SPEC.__dict__ | {"ingestion": Ingestion("snapshot")}))
+    snapshot = TableDefinition(**(SPEC.__dict__ | {"ingestion": Ingestion("snapshot")}))
     assert len(rows(run(spark, snapshot, SECOND, FIRST))) == 4
 
 
@@ -58,7 +58,7 @@ def test_latest_needs_no_window(spark):
 
 
 def test_merge_strategies(spark, rows):
-    spec = TableSpec("t", (Column("k"), Column("lo", "INTEGER", merge_strategy="keep_minimum"), Column("hi", "INTEGER", merge_strategy="keep_maximum"), Column("first", "INTEGER", merge_strategy="keep_existing"), Column("last", "INTEGER")), ("k",))
+    spec = TableDefinition("t", (Column("k"), Column("lo", "INTEGER", merge_strategy="keep_minimum"), Column("hi", "INTEGER", merge_strategy="keep_maximum"), Column("first", "INTEGER", merge_strategy="keep_existing"), Column("last", "INTEGER")), ("k",))
     old = spark.createDataFrame([("a", 5, 5, None, 5), ("b", 1, 1, 1, 1)], "k string, lo int, hi int, first int, last int")
     new = spark.createDataFrame([("a", 3, 3, 3, 3), ("c", 9, 9, 9, 9)], "k string, lo int, hi int, first int, last int")
     assert rows(I.merged(old, new, spec)) == [("a", 3, 5, 3, 3), ("b", 1, 1, 1, 1), ("c", 9, 9, 9, 9)]

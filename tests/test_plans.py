@@ -6,7 +6,7 @@ from loomspec.operators.sample import from_regex, generate, key_groups
 from loomspec.plans import lineage
 from loomspec.plans.compiler import compile_table
 from loomspec.plans.resolve import resolve
-from loomspec.spec import Candidate, Column, Derivation, Metadata, Relationship, Source, SpecError, TableSpec, from_dict, load, save, to_dict
+from loomspec.spec import Candidate, Column, Derivation, Metadata, Relationship, Source, SpecError, TableDefinition, from_dict, load, save, to_dict
 
 
 def c(name, *candidates, **more):
@@ -21,7 +21,7 @@ def test_or_join_plans_no_nested_loop(spark):
 
 
 def test_filters_and_columns_reach_the_scan(spark, small):
-    target = TableSpec("t", (c("k", Candidate("orders", "o_orderkey")),), metadata=Metadata("orders", base_filter="o_orderstatus = 'F'"))
+    target = TableDefinition("t", (c("k", Candidate("orders", "o_orderkey")),), metadata=Metadata("orders", base_filter="o_orderstatus = 'F'"))
     plan = compile_table(spark, target, {"orders": spark.read.parquet(f"{small}/orders.parquet")})._jdf.queryExecution().executedPlan().toString()
     assert "EqualTo(o_orderstatus,F)" in plan and "o_totalprice" not in plan
 
@@ -33,14 +33,14 @@ def test_literals_in_filters_are_left_alone(spark, rows):
 
 
 def test_strategies_are_inferred():
-    base = TableSpec("base", (Column("member_id"),), ("member_id",))
-    other = TableSpec("other", (Column("member_id"), Column("code")))
+    base = TableDefinition("base", (Column("member_id"),), ("member_id",))
+    other = TableDefinition("other", (Column("member_id"), Column("code")))
     many = Relationship("other", (("member_id", "member_id"),), cardinality="1:N")
-    pivot = TableSpec("t", (c("code_1", Candidate("other", "code")), c("code_2", Candidate("other", "code"))), relationships=(many,), metadata=Metadata("base"))
+    pivot = TableDefinition("t", (c("code_1", Candidate("other", "code")), c("code_2", Candidate("other", "code"))), relationships=(many,), metadata=Metadata("base"))
     assert resolve(pivot, {}).joins[0].strategy == "pivot"
-    one = TableSpec("t", (c("code", Candidate("other", "code")),), relationships=(many,), metadata=Metadata("base"))
+    one = TableDefinition("t", (c("code", Candidate("other", "code")),), relationships=(many,), metadata=Metadata("base"))
     assert resolve(one, {}).joins[0].strategy == "first_record"
-    synthetic = TableSpec("t", (c("code", Candidate("other", "code")),), metadata=Metadata("base"))
+    synthetic = TableDefinition("t", (c("code", Candidate("other", "code")),), metadata=Metadata("base"))
     found = resolve(synthetic, {"base": base, "other": other}).joins[0]
     assert found.keys == (("member_id", "member_id"),) and found.strategy == "first_record"
     with pytest.raises(SpecError):
@@ -56,25 +56,25 @@ def test_survivorship(spark, rows):
 
 
 def test_lineage():
-    specs = {"a": TableSpec("a", (Column("k"),)), "b": TableSpec("b", (c("k", Candidate("a", "k")),), metadata=Metadata("a")), "d": TableSpec("d", (c("k", Candidate("b", "missing")),), metadata=Metadata("b"))}
+    specs = {"a": TableDefinition("a", (Column("k"),)), "b": TableDefinition("b", (c("k", Candidate("a", "k")),), metadata=Metadata("a")), "d": TableDefinition("d", (c("k", Candidate("b", "missing")),), metadata=Metadata("b"))}
     assert lineage.build_order(specs) == ["a", "b", "d"]
     assert lineage.dangling(specs) == [("d", "column", "b.missing")]
     assert lineage.roles(specs) == {"a": "SOURCE", "b": "INTERMEDIATE", "d": "GOLD"}
-    new = specs | {"b": TableSpec("b", (c("k", Candidate("a", "k")), Column("n")), metadata=Metadata("a"))}
+    new = specs | {"b": TableDefinition("b", (c("k", Candidate("a", "k")), Column("n")), metadata=Metadata("a"))}
     assert lineage.changed(specs, new) == ["b", "d"]
     with pytest.raises(SpecError, match="cycle"):
-        lineage.build_order({"a": TableSpec("a", (c("k", Candidate("b", "k")),)), "b": TableSpec("b", (c("k", Candidate("a", "k")),))})
+        lineage.build_order({"a": TableDefinition("a", (c("k", Candidate("b", "k")),)), "b": TableDefinition("b", (c("k", Candidate("a", "k")),))})
 
 
 def test_compatibility():
-    old = TableSpec("t", (Column("a", "INTEGER"), Column("b"), Column("gone")))
-    new = TableSpec("t", (Column("a", "DECIMAL"), Column("b", nullable=False), Column("added", nullable=False), Column("kept", aliases=("gone",))))
+    old = TableDefinition("t", (Column("a", "INTEGER"), Column("b"), Column("gone")))
+    new = TableDefinition("t", (Column("a", "DECIMAL"), Column("b", nullable=False), Column("added", nullable=False), Column("kept", aliases=("gone",))))
     assert set(lineage.compatibility(old, new)) == {("type", "a", False), ("nullability", "b", True), ("added", "added", True), ("renamed", "gone", False)}
     assert lineage.diff(old, new)["columns_changed"] == ["a", "b"]
 
 
 def test_specs_round_trip(tmp_path):
-    spec = TableSpec("t", (c("k", Candidate("a", "k", priority=1)), Column("v", "DECIMAL", precision=8, scale=3)), ("k",), relationships=(Relationship("a", (("k", "k"),)),), metadata=Metadata("a", branch_filters={"a": "x > 1"}), source=Source("parquet", "/x"))
+    spec = TableDefinition("t", (c("k", Candidate("a", "k", priority=1)), Column("v", "DECIMAL", precision=8, scale=3)), ("k",), relationships=(Relationship("a", (("k", "k"),)),), metadata=Metadata("a", branch_filters={"a": "x > 1"}), source=Source("parquet", "/x"))
     assert from_dict(to_dict(spec)) == spec
     for name in ("t.json", "t.yaml", "folder"):
         save(spec, tmp_path / name)
@@ -82,14 +82,14 @@ def test_specs_round_trip(tmp_path):
         assert {x.name for x in back.columns} == {"k", "v"} and back.metadata == spec.metadata
 
 
-@pytest.mark.parametrize("bad", [lambda: Column("1x"), lambda: Column("a", "BLOB"), lambda: Candidate("t"), lambda: TableSpec("t", (Column("a"), Column("A"))), lambda: TableSpec("t", (Column("a"),), ("b",)), lambda: Source("jdbc", options={}), lambda: from_dict({"name": "t", "nope": 1})])
+@pytest.mark.parametrize("bad", [lambda: Column("1x"), lambda: Column("a", "BLOB"), lambda: Candidate("t"), lambda: TableDefinition("t", (Column("a"), Column("A"))), lambda: TableDefinition("t", (Column("a"),), ("b",)), lambda: Source("jdbc", options={}), lambda: from_dict({"name": "t", "nope": 1})])
 def test_bad_specs(bad):
     with pytest.raises(SpecError):
         bad()
 
 
 def test_schema_emitters(spark):
-    spec = TableSpec("t", (Column("id", "INTEGER", nullable=False, position=1), Column("price", "DECIMAL", precision=12, scale=3, position=2), Column("e", "EMBEDDING", position=3), Column("hidden", internal=True)))
+    spec = TableDefinition("t", (Column("id", "INTEGER", nullable=False, position=1), Column("price", "DECIMAL", precision=12, scale=3, position=2), Column("e", "EMBEDDING", position=3), Column("hidden", internal=True)))
     assert schema.struct_type(spec).simpleString() == "struct<id:int,price:decimal(12,3),e:array<float>>"
     assert "`id` INT NOT NULL" in schema.ddl(spec) and '"required": [\n    "id"\n  ]' in schema.json_schema(spec)
     back = schema.reflect_schema("t", schema.struct_type(spec))
@@ -100,7 +100,7 @@ def test_schema_emitters(spark):
 
 
 def test_sample_data(spark):
-    specs = {"child": TableSpec("child", (Column("id", "INTEGER", nullable=False), Column("p", "INTEGER", nullable=False), Column("zip"), Column("e", "EMBEDDING", dimension=8, nullable=False)), ("id",), foreign_keys=(("p", "parent", "p"),)), "parent": TableSpec("parent", (Column("p", "INTEGER", nullable=False),), ("p",))}
+    specs = {"child": TableDefinition("child", (Column("id", "INTEGER", nullable=False), Column("p", "INTEGER", nullable=False), Column("zip"), Column("e", "EMBEDDING", dimension=8, nullable=False)), ("id",), foreign_keys=(("p", "parent", "p"),)), "parent": TableDefinition("parent", (Column("p", "INTEGER", nullable=False),), ("p",))}
     a, b = generate(spark, specs, 200), generate(spark, specs, 200)
     assert a["child"].collect() == b["child"].collect()
     assert a["child"].join(a["parent"], "p", "left_anti").count() == 0
@@ -116,6 +116,6 @@ def test_sample_data(spark):
 def test_cli(tmp_path, capsys):
     from loomspec.cli import main
 
-    save(TableSpec("t", (Column("id", "INTEGER"),)), tmp_path / "t.json")
+    save(TableDefinition("t", (Column("id", "INTEGER"),)), tmp_path / "t.json")
     assert main(["ddl", str(tmp_path / "t.json")]) == 0 and "CREATE TABLE" in capsys.readouterr().out
     assert main(["validate", str(tmp_path / "t.json")]) == 0

@@ -1,6 +1,6 @@
 from loomspec.operators import rules as Q
 from loomspec.operators import suite as S
-from loomspec.spec import Column, Rule, TableSpec
+from loomspec.spec import Column, Rule, TableDefinition
 
 
 def frame(spark):
@@ -42,7 +42,7 @@ def test_order_over_ranges(spark):
 
 
 def test_generated_suite_and_gate(spark):
-    spec = TableSpec("t", (Column("id", "INTEGER", nullable=False), Column("s", length=1), Column("start_day", "DATE"), Column("end_day", "DATE")), ("id",))
+    spec = TableDefinition("t", (Column("id", "INTEGER", nullable=False), Column("s", length=1), Column("start_day", "DATE"), Column("end_day", "DATE")), ("id",))
     kinds = [r.type for r in S.baseline_rules(spec)]
     assert "pair_values_a_to_be_greater_than_b" in kinds and "compound_columns_to_be_unique" in kinds and "value_lengths_to_be_between" in kinds
     assert "value_lengths_to_be_between" not in [r.type for r in S.baseline_rules(spec, typed_raw=True)]

@@ -3,11 +3,11 @@ import pytest
 from loomspec.operators import drift, profile
 from loomspec.functions import domains
 from loomspec.sources import readers, sinks
-from loomspec.spec import Column, Source, SpecError, TableSpec
+from loomspec.spec import Column, Source, SpecError, TableDefinition
 
 
 def spec(path, **options):
-    return TableSpec("t", (Column("row_id"), Column("note")), source=Source("delimited", str(path), options))
+    return TableDefinition("t", (Column("row_id"), Column("note")), source=Source("delimited", str(path), options))
 
 
 def test_plain_csv(spark, tmp_path, rows):
@@ -25,7 +25,7 @@ def test_quirks(spark, tmp_path, rows):
 
 def test_json_paths(spark, tmp_path, rows):
     (tmp_path / "a.json").write_text('{"id": 1, "who": {"name": {"first": "A"}}}\n')
-    s = TableSpec("t", (Column("id"),), source=Source("json", str(tmp_path / "a.json"), projection={"id": "id", "first": "who.name.first"}))
+    s = TableDefinition("t", (Column("id"),), source=Source("json", str(tmp_path / "a.json"), projection={"id": "id", "first": "who.name.first"}))
     assert rows(readers.read(spark, s)) == [(1, "A")]
     with pytest.raises(SpecError, match="who.name.first"):
         readers.project_paths(spark.read.json(str(tmp_path / "a.json")), {"x": "who.age"})
@@ -42,7 +42,7 @@ def test_jdbc_options():
 
 def test_headers_and_names(spark, rows):
     df = spark.createDataFrame([("1", "n")], ["  ROW_ID ", "Remark"])
-    s = TableSpec("t", (Column("row_id"), Column("note", aliases=("remark",))))
+    s = TableDefinition("t", (Column("row_id"), Column("note", aliases=("remark",))))
     assert readers.map_header(df, s).columns == ["row_id", "note"]
     assert readers.snake_case("HTTPServerName") == "http_server_name" and readers.quoted("a]b", "sqlserver") == "[a]]b]"
     assert set(readers.with_provenance(df).columns) >= {"_source_file", "_load_ts"}
