@@ -122,3 +122,13 @@ def test_hot_passage_is_linked_as_a_star(documents, prose):
     rows = [(i, prose(20, 100 + i) + " " + shared + " " + prose(20, 900 + i)) for i in range(120)]
     got = passages.repeated_passages(documents(rows, 6)).collect()
     assert {r["component_id"] for r in got} == {0} and len({r["doc_id"] for r in got}) == 120 and len(got) < 120 * 12
+
+
+def test_passages_around_a_frequent_phrase_are_found(documents, prose):
+    phrase = prose(40, 1)
+    rows = [(i, prose(60, 100 + i) + " " + phrase + " " + prose(60, 900 + i)) for i in range(150)]
+    for g in range(20):  # two texts share six words on both sides of the phrase, too
+        passage = prose(6, 5000 + g) + " " + phrase + " " + prose(6, 6000 + g)
+        rows += [(1000 + 100 * side + g, prose(50, 7000 + 100 * side + g) + " " + passage + " " + prose(50, 8000 + 100 * side + g)) for side in range(2)]
+    got = {(r["doc_id"], r["partner_id"]) for r in passages.repeated_passages(documents(rows, 6)).collect()}
+    assert got == {x for g in range(20) for x in ((1000 + g, 1100 + g), (1100 + g, 1000 + g))}
