@@ -1,5 +1,6 @@
 import collections
 import math
+import random
 import re
 import zlib
 
@@ -104,3 +105,22 @@ def test_without_training_rows(documents):
     docs = documents([(1, "a b"), (2, None)])
     model, counts = class_lm.train(docs, lambda crc: crc < 0)
     assert model.total == 0 and all(math.isfinite(r["score"]) for r in class_lm.score(docs, model, counts).collect())
+
+
+def test_words_beyond_the_clustered_take_a_learnt_class(documents, monkeypatch):
+    monkeypatch.setattr(class_lm, "HEAD", 1500)  # some words are learnt in the join
+    r = random.Random(5)
+    kinds = [[f"{k}x{i:04d}" for i in range(900)] for k in "ab"]  # of one shape: only their neighbours tell them apart
+    text = lambda: " ".join(r.choice(kinds[i % 2]) for i in range(200))
+    model, counts = class_lm.train(documents([(i, text()) for i in range(300)]), lambda crc: crc >= 0)
+    of = {bytes(x["word"]).decode(): x["class"] for x in counts.collect()}
+    assert len(of) == 1801 and all(of[w] < class_lm.CLASSES for k in kinds for w in k)
+    assert not {of[w] for w in kinds[0]} & {of[w] for w in kinds[1]}
+    rare = [w for w in of if w.encode() not in model.words]
+    assert len(rare) == 301
+    words = [rare[0], rare[1], kinds[0][0], rare[2]]
+    got = class_lm.score(documents([(1, " ".join(words))]), model, counts).first()
+    n = {bytes(x["word"]).decode(): x["n"] for x in counts.collect()}
+    path = [of[" end"], *(of[w] for w in words), of[" end"]]
+    want = sum(model.transition[a, b] for a, b in zip(path, path[1:])) + sum(math.log10(n[w] / model.totals[of[w]]) for w in [*words, " end"])
+    assert got["n_known"] == 5 and abs(got["score"] - want) < 1e-9
