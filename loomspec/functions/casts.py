@@ -10,6 +10,8 @@ from loomspec.functions import formats
 from loomspec.schema import NUMBERS, TEXT_TYPES, spark_type
 from loomspec.spec import Column as ColumnSpec
 
+#: Types whose format is a date pattern.
+MOMENTS = ("DATE", "DATETIME", "TIMESTAMP")
 _TRUE, _FALSE = ("true", "t", "yes", "y", "1"), ("false", "f", "no", "n", "0")
 
 
@@ -66,6 +68,9 @@ def boolean(c: Column) -> Column:
 def cast_column(c: Column, spec: ColumnSpec, typed: bool = False, fallbacks: tuple[str, ...] = ()) -> Column:
     """The value as the specification's type, NULL where it cannot be read. typed: the raw value is no text, so it is only cast."""
     kind, to = spec.type.upper(), spark_type(spec)
+    if spec.format and kind in MOMENTS:
+        for pattern in (spec.format, *fallbacks):
+            formats.checked(pattern)
     if typed:
         return c.try_cast(to)
     if kind in TEXT_TYPES:

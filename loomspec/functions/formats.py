@@ -5,15 +5,19 @@ from __future__ import annotations
 import re
 
 #: The patterns that specifications may declare.
-DATE_PATTERNS = ("YYYY-MM-DD", "YYYY/MM/DD", "YYYYMMDD", "MM/DD/YYYY", "M/D/YYYY", "MM-DD-YYYY", "DD-MMM-YYYY", "MMM DD, YYYY", "MMMM DD, YYYY")
-DATETIME_PATTERNS = ("YYYY-MM-DD HH:MM:SS", "YYYY-MM-DDTHH:MM:SS", "YYYY-MM-DD HH:MM", "YYYY-MM-DD HH:MM:SS.SSS", "YYYY-MM-DD HH:MM:SS.SSSSSS", "YYYY-MM-DDTHH:MM:SS.SSS", "YYYY-MM-DDTHH:MM:SS.SSSSSS", "YYYY/MM/DD HH:MM:SS", "MM/DD/YYYY HH:MM:SS", "MM/DD/YYYY HH:MM", "MM/DD/YYYY h:mm A", "MM/DD/YYYY h:mm:ss A", "M/D/YYYY h:mm A", "M/D/YYYY h:mm:ss A", "M/D/YYYY HH:MM", "M/D/YYYY HH:MM:SS", "YYYYMMDDHHMMSS")
-TIME_PATTERNS = ("HH:MM:SS", "HH:MM", "h:mm A", "h:mm:ss A", "HHMMSS")
+DATE_PATTERNS = ("YYYY-MM-DD", "YYYY/MM/DD", "MM/DD/YYYY", "MM-DD-YYYY", "M/D/YYYY", "M/d/YYYY", "M/d/yyyy", "YYYYMMDD", "MMDDYYYY")
+DATETIME_PATTERNS = (
+    "YYYY-MM-DD HH:MM:SS", "YYYY-MM-DDTHH:MM:SS", "YYYY-MM-DD HH:MM", "MM/DD/YYYY HH:MM:SS", "MM/DD/YYYY hh:mm:ss A", "M/D/YYYY h:mm A", "M/d/YYYY h:mm A", "M/d/yyyy h:mm a", "M/d/yyyy, h:mm a",
+    "MM/dd/yyyy h:mma", "MM/dd/yyyy h:mmA", "MM/DD/YYYY hh:mm A", "M/D/YYYY, h:mm A", "M/D/YYYY h:mm:ss A", "YYYY-MM-DD HH:mm:ss", "YYYY-MM-DD HH:MM:SS.SSSSSS", "YYYY-MM-DD HH:MM:SS.SSS",
+)
+TIME_PATTERNS = ("HH:MM:SS", "HH:MM", "hh:mm:ss A", "hh:mm A", "h:mm a")
+PATTERNS = DATE_PATTERNS + DATETIME_PATTERNS + TIME_PATTERNS
 EPOCH_MS, EXCEL_SERIAL = "EPOCH_MS", "EXCEL_SERIAL"
 #: Tried in this order where a value may be in any of several forms.
 COMMON_DATES = ("YYYY-MM-DD", "MM/DD/YYYY", "M/D/YYYY", "YYYYMMDD", "YYYY/MM/DD")
 COMMON_TIMESTAMPS = ("YYYY-MM-DD HH:MM:SS", "YYYY-MM-DDTHH:MM:SS", "YYYY-MM-DD HH:MM:SS.SSS", "YYYY-MM-DD HH:MM:SS.SSSSSS", "MM/DD/YYYY HH:MM:SS", "M/D/YYYY h:mm A")
 
-_TOKEN = re.compile(r"\.S+|Y+|M+|m+|D+|H+|h+|S+|s+|A|a|T|.", re.S)
+_TOKEN = re.compile(r"\.S+|Y+|y+|M+|m+|D+|d+|H+|h+|S+|s+|A|a|T|.", re.S)
 
 
 def _tokens(pattern: str) -> list[tuple[str, str]]:
@@ -27,8 +31,8 @@ def _tokens(pattern: str) -> list[tuple[str, str]]:
         elif kind == "M":
             # a compact time has its minutes right after the hours: MMSS
             out.append(("minute" if after_hours else "month", text))
-        elif kind in "mSsDYAaT":
-            out.append(({"m": "minute", "S": "second", "s": "second", "D": "day", "Y": "year", "A": "half", "a": "half", "T": "literal"}[kind], text))
+        elif kind in "mSsDdYyAaT":
+            out.append(({"m": "minute", "S": "second", "s": "second", "D": "day", "d": "day", "Y": "year", "y": "year", "A": "half", "a": "half", "T": "literal"}[kind], text))
         elif text[0] == "." and len(text) > 1:
             out.append(("fraction", text))
         else:
@@ -36,6 +40,13 @@ def _tokens(pattern: str) -> list[tuple[str, str]]:
     return out
 
 
+def checked(pattern: str) -> str:
+    """The pattern, if specifications may declare it; a value of a form that is not known would be read as NULL without a word."""
+    if pattern not in PATTERNS and pattern not in (EPOCH_MS, EXCEL_SERIAL):
+        raise ValueError(f"unknown date pattern {pattern!r}")
+    return pattern
+
+
 def to_java(pattern: str) -> str:
     """The pattern for to_timestamp and date_format."""
     made = {"year": lambda t: "y" * len(t), "month": lambda t: t, "day": lambda t: "d" * len(t), "hour24": lambda t: "H" * len(t), "hour12": lambda t: "h" * len(t), "minute": lambda t: "m" * len(t), "second": lambda t: "s" * len(t), "half": lambda t: "a", "literal": lambda t: "'T'", "fraction": lambda t: t, "other": lambda t: t if not t.isalpha() else f"'{t}'"}

@@ -26,7 +26,7 @@ def test_booleans_and_text(spark):
     assert cast(spark, ["", " a "], Column("v")) == ["", " a "]
 
 
-@pytest.mark.parametrize(("pattern", "good", "bad"), [("MM/DD/YYYY", "02/28/2021", "2/28/2021"), ("M/D/YYYY", "2/8/2021", "2021-02-08"), ("YYYYMMDD", "20210228", "20210230"), ("DD-MMM-YYYY", "28-Feb-2021", "28/02/2021")])
+@pytest.mark.parametrize(("pattern", "good", "bad"), [("MM/DD/YYYY", "02/28/2021", "2/28/2021"), ("M/D/YYYY", "2/8/2021", "2021-02-08"), ("YYYYMMDD", "20210228", "20210230"), ("MMDDYYYY", "02282021", "20210228"), ("M/d/yyyy", "2/8/2021", "2021/2/8")])
 def test_dates(spark, pattern, good, bad):
     got = cast(spark, [good, bad, "", None], Column("v", "DATE", format=pattern))
     assert got[0] is not None and got[1:] == [None, None, None]
@@ -52,6 +52,19 @@ def test_every_pattern_reads_what_it_writes(spark):
         assert re.fullmatch(formats.strict_regex(p), x["s"]), (p, x["s"])
 
 
+def test_unknown_patterns_are_refused(spark):
+    assert len(formats.PATTERNS) == len(set(formats.PATTERNS)) == 31
+    with pytest.raises(ValueError, match="DD/MM/YYYY"):
+        casts.cast_column(F.col("v"), Column("v", "DATE", format="DD/MM/YYYY"))
+    with pytest.raises(ValueError, match="YYYY-M-D"):
+        casts.cast_column(F.col("v"), Column("v", "TIMESTAMP", format="YYYY-MM-DD"), fallbacks=("YYYY-M-D",))
+
+
+@pytest.mark.parametrize(("pattern", "text"), [("M/d/yyyy h:mm a", "1/2/2024 3:04 PM"), ("M/d/yyyy, h:mm a", "1/2/2024, 3:04 PM"), ("MM/dd/yyyy h:mma", "01/02/2024 3:04PM"), ("MM/dd/yyyy h:mmA", "01/02/2024 3:04PM"), ("MM/DD/YYYY hh:mm A", "01/02/2024 03:04 PM"), ("M/D/YYYY, h:mm A", "1/2/2024, 3:04 PM"), ("M/d/YYYY h:mm A", "1/2/2024 3:04 PM")])
+def test_twelve_hour_patterns(spark, pattern, text):
+    assert cast(spark, [text, "x"], Column("v", "DATETIME", format=pattern)) == [dt.datetime(2024, 1, 2, 15, 4), None]
+
+
 def test_strftime_patterns():
     assert formats.strftime_to_java("%Y-%m-%dT%H:%M:%S") == "yyyy-MM-dd'T'HH:mm:ss"
     assert formats.to_strftime("YYYY-MM-DD HH:MM:SS.SSS") == "%Y-%m-%d %H:%M:%S.%f"
