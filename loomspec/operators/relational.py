@@ -34,11 +34,16 @@ def _on(left: DataFrame, right: DataFrame, keys: Keys, null_safe: bool = False)
 
 
 def direct_join(left: DataFrame, right: DataFrame, alias: str, keys: Keys, how: str = "left", where: str | None = None, null_safe: bool = False) -> DataFrame:
-    """LEFT, INNER or FULL OUTER. The filter reads the right frame alone, so rows of the left stay in a LEFT join."""
-    if where:
+    """LEFT, INNER or FULL OUTER. The filter reads the right frame alone, so rows of the left stay in a LEFT join; in a FULL
+    OUTER join it is part of the condition, so rows of the right that it refuses stay, too, without a partner."""
+    held = bool(where) and how.replace("_", "").lower().startswith(("full", "outer"))
+    if where and not held:
         right = right.where(F.expr(where))
-    other = prefixed(right, alias, [r for _, r in keys])
-    return left.join(other, _on(left, other, keys, null_safe), how).drop(*(f"__k{i}" for i in range(len(keys))))
+    other = prefixed(right, alias, [r for _, r in keys] + ([f"({where})"] if held else []))
+    on = _on(left, other, keys, null_safe)
+    if held:
+        on = on & F.col(f"__k{len(keys)}")
+    return left.join(other, on, how).drop(*(f"__k{i}" for i in range(len(keys) + held)))
 
 
 def bridge_join(left: DataFrame, bridge: DataFrame, target: DataFrame, bridge_alias: str, alias: str, first: Keys, second: Keys, how: str = "left") -> DataFrame:
@@ -131,12 +136,6 @@ def window_aggregate(right: DataFrame, keys: Sequence[str], columns: Sequence[st
     return keyed.withColumn("__rn", F.row_number().over(w)).where("__rn = 1").select(*names, *columns)
 
 
-def has_aggregate(df: DataFrame, expression: str) -> bool:
-    """Whether the analyzer finds an aggregate in an expression over df."""
-    plan = df.limit(0).select(F.expr(expression).alias("x"))._jdf.queryExecution().analyzed().toString()
-    return "Aggregate [" in plan or "Aggregate (" in plan
-
-
 def key_universe(sources: Sequence[tuple[DataFrame, str]], name: str) -> DataFrame:
     """The distinct non-NULL keys of several tables."""
     out = None

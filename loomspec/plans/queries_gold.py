@@ -52,8 +52,11 @@ spec_query("gold_direct_join", TableDefinition("order_enriched", (ORDER_KEY, ORD
 spec_query("gold_inner_join", TableDefinition("building_orders", (ORDER_KEY, col("c_name", "VARCHAR", of("customer", "c_name")), col("segment", "VARCHAR", of("customer", "c_mktsegment"))), ("o_orderkey",), relationships=(Relationship("customer", (("o_custkey", "c_custkey"),), how="inner", filter="c_mktsegment = 'BUILDING'"),), metadata=Metadata("orders")), ("orders", "customer"),
     "SELECT o_orderkey, c_name, c_mktsegment AS segment FROM orders JOIN customer ON o_custkey = c_custkey AND c_mktsegment = 'BUILDING'")
 
-spec_query("gold_full_outer_join", TableDefinition("doc_labels", (col("doc_id", "BIGINT", of("documents", "doc_id")), col("label_doc", "BIGINT", of("labels", "doc_id")), col("quality", "INTEGER", of("labels", "quality"))), relationships=(Relationship("labels", (("doc_id", "doc_id"),), how="full_outer"),), metadata=Metadata("documents", base_filter="doc_id % 3 <> 0")), ("documents", "labels"),
-    "SELECT d.doc_id, l.doc_id AS label_doc, l.quality FROM (SELECT * FROM documents WHERE doc_id % 3 <> 0) d FULL OUTER JOIN labels l ON d.doc_id = l.doc_id")
+spec_query("gold_full_outer_join", TableDefinition("doc_labels", (col("doc_id", "BIGINT", of("documents", "doc_id")), col("label_doc", "BIGINT", of("labels", "doc_id")), col("quality", "INTEGER", of("labels", "quality"))), relationships=(Relationship("labels", (("doc_id", "doc_id * 2"),), how="full_outer"),), metadata=Metadata("documents")), ("documents", "labels"),
+    "SELECT d.doc_id, l.doc_id AS label_doc, l.quality FROM documents d FULL OUTER JOIN labels l ON d.doc_id = l.doc_id * 2")
+
+spec_query("gold_full_outer_filtered", TableDefinition("doc_labels", (col("doc_id", "BIGINT", of("documents", "doc_id")), col("label_doc", "BIGINT", of("labels", "doc_id")), col("quality", "INTEGER", of("labels", "quality"))), relationships=(Relationship("labels", (("doc_id", "doc_id"),), how="full_outer", filter="quality = 1"),), metadata=Metadata("documents")), ("documents", "labels"),
+    "SELECT d.doc_id, l.doc_id AS label_doc, l.quality FROM documents d FULL OUTER JOIN labels l ON d.doc_id = l.doc_id AND l.quality = 1")
 
 spec_query("gold_filtered_join", TableDefinition("doc_quality", (col("doc_id", "BIGINT", of("documents", "doc_id")), col("quality", "INTEGER", of("labels", "quality"))), ("doc_id",), relationships=(Relationship("labels", (("doc_id", "doc_id"),), filter="toxic = 0 AND 'quality' <> ''"),), metadata=Metadata("documents")), ("documents", "labels"),
     "SELECT d.doc_id, l.quality FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id AND l.toxic = 0")

@@ -9,6 +9,7 @@ from loomspec.spec import Candidate, Relationship, SpecError, TableDefinition
 
 #: Words that mark an expression as an aggregate where no analyzer is at hand.
 AGGREGATES = re.compile(r"\b(COUNT|MIN|MAX|MAX_BY|MIN_BY|SUM|AVG|FIRST|LAST|STDDEV|COLLECT_LIST|COLLECT_SET)\s*\(", re.I)
+QUOTED = re.compile(r"""'(?:[^'\\]|\\.|'')*'|"(?:[^"\\]|\\.)*"|`[^`]*`|--[^\n]*|/\*.*?\*/""", re.S)
 MANY = ("1:N", "1:0..N", "N:M")
 
 
@@ -20,7 +21,8 @@ class Resolved:
 
 
 def is_aggregate(expression: str | None) -> bool:
-    return bool(expression and AGGREGATES.search(expression))
+    """Words within literals, quoted names and comments are none of the expression's own."""
+    return bool(expression and AGGREGATES.search(QUOTED.sub(" ", expression)))
 
 
 def candidates(target: TableDefinition) -> list[tuple[str, Candidate]]:
