@@ -6,7 +6,7 @@ aggregation of structs, which is combined in the map tasks, so a key with very m
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -51,8 +51,6 @@ def latest(df: DataFrame, keys: list[str], order: tuple[str, ...], keep_null_key
         best = F.max_by(F.struct(*(F.col(f"`{c}`") for c in df.columns)), F.struct(*ranks))
         out = df.groupBy(*(F.col(f"`{k}`") for k in keys)).agg(best.alias("__row")).select("__row.*")
     else:
-        from pyspark.sql import Window
-
         w = Window.partitionBy(*keys).orderBy(*sort_keys(order, orderable(df)))
         out = df.withColumn("__rn", F.row_number().over(w)).where("__rn = 1").drop("__rn")
     return out if kept is None else out.unionByName(kept)
@@ -87,17 +85,21 @@ def _same(a: DataFrame, b: DataFrame, keys: list[str]) -> Column:
 
 
 def merged(old: DataFrame, new: DataFrame, spec: TableDefinition) -> DataFrame:
-    """An upsert whose columns follow their merge strategies: replace, keep_minimum, keep_maximum, keep_existing; a merge
+    """An upsert whose columns follow their merge strategies, with NULL keys alike and columns of either side kept: replace, keep_minimum, keep_maximum, keep_existing; a merge
     condition (on o and n, the old and the new row) limits when a new value is taken at all."""
     keys = list(spec.primary_key)
     o, n = F.col("o"), F.col("n")
     left = old.select(*(F.col(k).alias(f"__{i}") for i, k in enumerate(keys)), F.struct(*old.columns).alias("o"))
     right = new.select(*(F.col(k).alias(f"__{i}") for i, k in enumerate(keys)), F.struct(*new.columns).alias("n"))
-    both = left.join(right, [f"__{i}" for i in range(len(keys))], "full_outer")
+    right = right.select(*(F.col(f"__{i}").alias(f"__n{i}") for i in range(len(keys))), "n")
+    same = F.col("__0").eqNullSafe(F.col("__n0"))
+    for i in range(1, len(keys)):
+        same = same & F.col(f"__{i}").eqNullSafe(F.col(f"__n{i}"))
+    both = left.join(right, same, "full_outer")
     strategies = {c.name: c for c in spec.columns}
     out = []
-    for name in old.columns:
-        c, a, b = strategies.get(name), o[name], n[name] if name in new.columns else F.lit(None)
+    for name in [*old.columns, *(c for c in new.columns if c not in old.columns)]:
+        c, a, b = strategies.get(name), o[name] if name in old.columns else F.lit(None), n[name] if name in new.columns else F.lit(None)
         way = (c.merge_strategy if c else None) or "replace"
         if way not in ("replace", "keep_minimum", "keep_maximum", "keep_existing"):
             raise SpecError(f"merge strategy {way!r}")
@@ -133,13 +135,26 @@ def apply_post_rules(df: DataFrame, rules: tuple[tuple[str, str, str], ...]) ->
     return df
 
 
-def ingest_batch(old: DataFrame | None, raw: DataFrame, spec: TableDefinition, typed_raw: bool = False) -> DataFrame:
-    """What the table holds after a batch. Snapshot replaces; incremental without a key appends; with one it upserts."""
+def batch_rows(raw: DataFrame, spec: TableDefinition, typed_raw: bool = False, reference: DataFrame | None = None) -> DataFrame:
+    """A batch's typed rows without those that the exclusions name; reference is the table whose rows they see as xref."""
     new = typed(raw, spec, typed_raw)
-    mode = spec.ingestion
-    if mode.exclusions:
-        new = excluded(new, mode.exclusions)
-    keys = list(spec.primary_key)
+    if spec.ingestion.exclusions:
+        new = excluded(new, spec.ingestion.exclusions, reference, list(spec.primary_key))
+    return new
+
+
+def ingest_batch(old: DataFrame | None, raw: DataFrame, spec: TableDefinition, typed_raw: bool = False, reference: DataFrame | None = None) -> DataFrame:
+    """What the table holds after a batch. Snapshot replaces; incremental without a key appends; with one it upserts."""
+    return after_batch(old, batch_rows(raw, spec, typed_raw, reference), spec)
+
+
+def appends(spec: TableDefinition) -> bool:
+    """Whether a batch only adds rows, so that the table need not be written again."""
+    return spec.ingestion.mode != "snapshot" and not spec.primary_key
+
+
+def after_batch(old: DataFrame | None, new: DataFrame, spec: TableDefinition) -> DataFrame:
+    mode, keys = spec.ingestion, list(spec.primary_key)
     if mode.mode == "snapshot":
         out = new
     elif not keys:
@@ -160,12 +175,12 @@ def scored_merge(sources: list[DataFrame], keys: list[str], stamps: list[str], w
     for i, df in enumerate(sources):
         one = df.withColumn("merge_source", F.lit(i))
         rows = one if rows is None else rows.unionByName(one, allowMissingColumns=True)
-    best = rows.groupBy(*keys).agg(*(F.max(s).alias(f"__max_{s}") for s in stamps)) if stamps else None
-    if best is not None:
-        rows = rows.join(best, keys)
+    # a window keeps rows with NULL in the key, and leaves them where the choice below looks for them: one shuffle for both
+    by_key = Window.partitionBy(*keys)
+    rows = rows.withColumns({f"__max_{s}": F.max(s).over(by_key) for s in stamps})
     score = sum((F.when(F.col(s) == F.col(f"__max_{s}"), 1).otherwise(0) for s in stamps), F.lit(0))
     rows = rows.withColumn("merge_score", score).drop(*(f"__max_{s}" for s in stamps))
     plain = [c for c in rows.columns if c not in ("merge_score", "merge_source")]
     first = F.min_by(F.struct(*rows.columns), F.struct((-F.col("merge_score")).alias("s"), "merge_source", *(F.col(c).alias(f"t_{c}") for c in plain)))
-    out = rows.groupBy(*(F.col(k).alias(f"__{k}") for k in keys)).agg(first.alias("r")).select("r.*")
+    out = rows.groupBy(*keys).agg(first.alias("r")).select("r.*")
     return out if with_source else out.drop("merge_source", "merge_score")

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import csv
 import re
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -42,37 +43,47 @@ def read_delimited(spark: SparkSession, spec: TableDefinition) -> DataFrame:
 def read_quirky(spark: SparkSession, spec: TableDefinition) -> DataFrame:
     """Preamble and trailer rows, record separators of several characters, comment lines, and an escape for NULL.
 
-    Lines are numbered within files by their place in the distributed scan: only counts per partition reach the driver.
+    A line's place is its file, the block of the file, and its number in the scan of that; preamble, header and trailer are
+    each file's own. Only the places of their ends, a row for each file, are brought together, and only one header line
+    reaches the driver: the first file's, which names the columns of all.
     """
     o = spec.source.options
     end = LINE_ENDS.get(o.get("line_terminator", "LF"), o.get("line_terminator", "\n"))
     reader = spark.read.option("lineSep", end) if end != "\n" else spark.read
-    lines = reader.option("encoding", o.get("encoding", "UTF-8")).text(spec.source.path)
-    numbered = lines.select("value").rdd.zipWithIndex().map(lambda x: (x[1], x[0][0])).toDF("at bigint, value string")
-    numbered = numbered.where(F.trim("value") != "")
+    at = F.struct(F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("line")).alias("__at")
+    lines = reader.option("encoding", o.get("encoding", "UTF-8")).text(spec.source.path).select("value", F.col("_metadata.file_path").alias("__file"), at)
+    lines = lines.where(F.trim("value") != "")
     if o.get("comment"):
-        numbered = numbered.where(~F.col("value").startswith(o["comment"]))
-    skip, foot = int(o.get("skip_rows") or 0), int(o.get("footer_rows") or 0)
-    edge = sorted(x[0] for x in numbered.orderBy("at").limit(skip + 1).select("at").collect())
-    header = None
-    if o.get("header", True):
-        if len(edge) <= skip:
-            return spark.createDataFrame([], all_text([c.name for c in spec.columns]))
-        header = numbered.where(F.col("at") == edge[skip]).first()["value"]
-        numbered = numbered.where(F.col("at") > edge[skip])
-    elif edge:
-        numbered = numbered.where(F.col("at") >= edge[skip] if len(edge) > skip else F.lit(False))
+        lines = lines.where(~F.col("value").startswith(o["comment"]))
+    skip, foot, headed = int(o.get("skip_rows") or 0), int(o.get("footer_rows") or 0), bool(o.get("header", True))
+    kept, header = lines, None
+    if skip + headed:
+        start = _nth(lines, skip + headed, F.col("__at").asc())
+        kept = kept.join(F.broadcast(start.withColumnRenamed("__end", "__start")), "__file").where(F.col("__at") > F.col("__start"))
+        if headed:
+            first = start.where(F.col("__n") == skip + 1).orderBy("__file").first()
+            if first is None:
+                return spark.createDataFrame([], all_text([c.name for c in spec.columns]))
+            header = lines.where((F.col("__file") == first["__file"]) & (F.col("__at.block") == first["__end"]["block"]) & (F.col("__at.line") == first["__end"]["line"])).first()["value"]
     if foot:
-        last = [x[0] for x in numbered.orderBy(F.desc("at")).limit(foot).select("at").collect()]
-        numbered = numbered.where(F.col("at") < min(last)) if last else numbered
-    sep = o.get("delimiter", "|")
-    names = [x.strip() for x in header.split(sep)] if header else [c.name for c in spec.columns]
+        kept = kept.join(F.broadcast(_nth(lines, foot, F.col("__at").desc()).select("__file", "__end")), "__file").where(F.col("__at") < F.col("__end"))
+    sep, quote = o.get("delimiter", "|"), o.get("quote") or '"'
+    if header is None:
+        names = [c.name for c in spec.columns]
+    else:
+        names = [x.strip() for x in (next(csv.reader([header], delimiter=sep, quotechar=quote)) if len(sep) == len(quote) == 1 else header.split(sep))]
     parse = {"sep": sep} | {k: o[k] for k in ("quote", "escape") if o.get(k) is not None}
-    cells = numbered.select(F.from_csv("value", F.lit(", ".join(f"`{n}` STRING" for n in names)), parse).alias("r")).select("r.*")
+    cells = kept.select(F.from_csv("value", F.lit(", ".join(f"`{n}` STRING" for n in names)), parse).alias("r")).select("r.*")
     nulls = [o.get("null_value", ""), "\\N", *([o["null_escape"]] if o.get("null_escape") else [])]
     return cells.select(*(F.when(~F.col(f"`{n}`").isin(nulls), F.col(f"`{n}`")).alias(n) for n in names))
 
 
+def _nth(lines: DataFrame, n: int, order: Column) -> DataFrame:
+    """(__file, __end, __n): the place of each file's n-th line in the order, or of its last one, and how many it is. Map tasks keep n lines of a file."""
+    ranked = lines.select("__file", "__at").withColumn("__n", F.row_number().over(Window.partitionBy("__file").orderBy(order))).where(F.col("__n") <= n)
+    return ranked.groupBy("__file").agg(F.max_by("__at", "__n").alias("__end"), F.max("__n").alias("__n"))
+
+
 def read_parquet(spark: SparkSession, spec: TableDefinition) -> DataFrame:
     return spark.read.parquet(spec.source.path)
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -12,38 +14,84 @@ from loomspec.functions.formats import to_java
 from loomspec.spec import TableDefinition
 
 
+def shared_root(spark: SparkSession) -> str:
+    """The folder that driver and executors share, spark.checkpoint.dir; where it is unset, one of our own, on a local master alone."""
+    path = spark.conf.get("spark.checkpoint.dir", None)
+    if not path:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        path = "file://" + tempfile.mkdtemp(prefix="loomspec-")
+        spark.conf.set("spark.checkpoint.dir", path)
+    return path.rstrip("/")
+
+
 def _fs(spark: SparkSession, path: str):
     p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), p
 
 
+#: Folders of a version that appends have made, beyond which the next append writes them as one.
+MOST_FOLDERS = 200
+
+
 class VersionedTable:
-    """A Parquet table whose versions are folders and whose current one is named by a pointer file.
+    """A Parquet table whose versions are lists of folders; a pointer file has the current list and the last batch's number.
 
-    Readers see a whole version or the one before; a path that is being read is never written. Versions are told apart by a
-    random name; the pointer is replaced by one overwriting rename.
+    Readers see a whole version or the one before; a folder that is being read is never written. Folders are told apart by
+    random names; the pointer is replaced by one overwriting rename, so a version and the number of the batch that made it
+    are committed together: a batch that is run again after a failure finds its number, or none of its rows. An append adds
+    a folder; rows that are there already are not written again.
     """
 
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.path = spark, path.rstrip("/")
 
-    def current(self) -> str | None:
+    def current(self) -> tuple[list[str], int | None]:
+        """The folders, and the number of the last batch."""
         fs, pointer = _fs(self.spark, f"{self.path}/CURRENT")
         if not fs.exists(pointer):
-            return None
-        return self.spark.read.text(f"{self.path}/CURRENT").first()[0]
+            return [], None
+        state = json.loads("".join(r[0] for r in self.spark.read.text(f"{self.path}/CURRENT", wholetext=True).collect()))
+        return state["folders"], state["batch"]
 
     def read(self) -> DataFrame | None:
-        version = self.current()
-        return self.spark.read.parquet(f"{self.path}/{version}") if version else None
-
-    def write(self, df: DataFrame) -> None:
-        version = f"v-{uuid.uuid4().hex}"
-        df.write.parquet(f"{self.path}/{version}")
+        folders, _ = self.current()
+        if not folders:
+            return None
+        return self.spark.read.option("mergeSchema", len(folders) > 1).parquet(*(f"{self.path}/{x}" for x in folders))
+
+    def has(self, batch: int) -> bool:
+        """Whether this batch, or a later one, is in the table."""
+        last = self.current()[1]
+        return last is not None and batch <= last
+
+    def write(self, df: DataFrame, batch: int | None = None) -> None:
+        """df replaces the rows. Folders of the version before stay until the next replacement, for those who read them."""
+        folders, last = self.current()
+        name = f"v-{uuid.uuid4().hex}"
+        df.write.parquet(f"{self.path}/{name}")
+        self._commit([name], last if batch is None else batch)
+        self._remove_but({name, *folders})
+
+    def append(self, df: DataFrame, batch: int | None = None) -> None:
+        folders, last = self.current()
+        name = f"v-{uuid.uuid4().hex}"
+        if len(folders) >= MOST_FOLDERS:
+            return self.write(self.read().unionByName(df, allowMissingColumns=True), batch)
+        df.write.parquet(f"{self.path}/{name}")
+        self._commit([*folders, name], last if batch is None else batch)
+
+    def _remove_but(self, kept: set[str]) -> None:
+        fs, root = _fs(self.spark, self.path)
+        for s in fs.listStatus(root):
+            if s.getPath().getName().startswith("v-") and s.getPath().getName() not in kept:
+                fs.delete(s.getPath(), True)
+
+    def _commit(self, folders: list[str], batch: int | None) -> None:
         fs, pointer = _fs(self.spark, f"{self.path}/CURRENT")
-        temp = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{self.path}/.new-{version}")
+        temp = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{self.path}/.new-{uuid.uuid4().hex}")
         out = fs.create(temp, True)
-        out.write(bytearray(version.encode()))
+        out.write(bytearray(json.dumps({"folders": folders, "batch": batch}).encode()))
         out.close()
         fs_package = self.spark.sparkContext._jvm.org.apache.hadoop.fs
         context = fs_package.FileContext.getFileContext(pointer.toUri(), self.spark.sparkContext._jsc.hadoopConfiguration())

@@ -1,7 +1,7 @@
 """Structured Streaming forms of ingestion: file streams into appended, upserted or replaced tables, with row rules enforced.
 
-Upserts go through foreachBatch into a versioned table; a batch that is run again, after a failure, finds its number in the
-table's log of batches and changes nothing. Checkpoints and tables live where the caller says, in shared storage.
+Batches go through foreachBatch into a versioned table, which commits a batch's number with its rows; a batch that is run
+again, after a failure, finds its number and changes nothing. Appends add files; upserts and snapshots write the table anew. Checkpoints and tables live where the caller says, in shared storage.
 """
 
 from __future__ import annotations
@@ -13,8 +13,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
-from loomspec.operators.ingest import latest, max_sequence, typed, upsert
+from loomspec.operators.ingest import after_batch, appends, apply_post_rules, batch_rows, latest, max_sequence, upsert
 from loomspec.operators.suite import enforce
+from loomspec.plans.compiler import compile_table
 from loomspec.sources.sinks import VersionedTable
 from loomspec.spec import Rule, TableDefinition
 
@@ -27,20 +28,6 @@ def file_stream(spark: SparkSession, path: str, schema: T.StructType, kind: str
     return reader.format(kind).load(path)
 
 
-def _done(spark: SparkSession, path: str, batch: int) -> bool:
-    from loomspec.sources.sinks import _fs
-
-    fs, p = _fs(spark, f"{path}/_batches/{batch}")
-    return bool(fs.exists(p))
-
-
-def _mark(spark: SparkSession, path: str, batch: int) -> None:
-    from loomspec.sources.sinks import _fs
-
-    fs, p = _fs(spark, f"{path}/_batches/{batch}")
-    fs.create(p, True).close()
-
-
 def upsert_stream(stream: DataFrame, path: str, keys: list[str], checkpoint: str, order_by: tuple[str, ...] = ("_load_ts",), policy: str = "max_sequence_wins", after: Callable[[DataFrame], None] | None = None) -> StreamingQuery:
     """Keep one row per key. max_sequence_wins: an older row never replaces a newer one, so late batches do no harm;
     last_batch_wins: the latest row of a batch replaces what is there. `after` sees the table after each batch."""
@@ -48,11 +35,10 @@ def upsert_stream(stream: DataFrame, path: str, keys: list[str], checkpoint: str
     table = VersionedTable(spark, path)
 
     def one(batch: DataFrame, number: int) -> None:
-        if _done(spark, path, number):
+        if table.has(number):
             return
         old = table.read()
-        table.write(max_sequence(old, batch, keys, order_by) if policy == "max_sequence_wins" else upsert(old, latest(batch, keys, order_by), keys))
-        _mark(spark, path, number)
+        table.write(max_sequence(old, batch, keys, order_by) if policy == "max_sequence_wins" else upsert(old, latest(batch, keys, order_by), keys), number)
         if after is not None:
             after(table.read())
 
@@ -66,40 +52,49 @@ def append_stream(stream: DataFrame, path: str, checkpoint: str) -> StreamingQue
 def snapshot_stream(stream: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
     """Each batch replaces the table."""
     table = VersionedTable(stream.sparkSession, path)
-    return stream.writeStream.foreachBatch(lambda batch, _: table.write(batch)).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    return stream.writeStream.foreachBatch(lambda batch, number: None if table.has(number) else table.write(batch, number)).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def ingest_stream(raw: DataFrame, spec: TableDefinition, path: str, checkpoint: str, rules: list[Rule] = (), quarantine: str | None = None) -> StreamingQuery:
-    """Typed rows by the specification's mode. Rows that break a rule are set aside, or stop the stream, by its severity;
-    counts of both are observed as metrics of each batch."""
-    spark, mode = raw.sparkSession, spec.ingestion
-    table = VersionedTable(spark, path)
+def ingest_stream(raw: DataFrame, spec: TableDefinition, path: str, checkpoint: str, rules: list[Rule] = (), quarantine: str | None = None, reference: DataFrame | None = None, after: Callable[[DataFrame, int], None] | None = None) -> StreamingQuery:
+    """Batches into a table as `ingest_batch` has it: the same casts, exclusions, modes, merge strategies and rules afterwards.
+    Without a key only the batch's rows are written. Rows that break a rule are set aside, or stop the stream, by its
+    severity; a batch's number names the folder of those set aside, so that a repeated batch replaces it. `after` sees the
+    table, and the batch's number, when the batch is in it; it may see one again."""
+    table = VersionedTable(raw.sparkSession, path)
 
     def one(batch: DataFrame, number: int) -> None:
-        if _done(spark, path, number):
-            return
-        rows = typed(batch, spec)
+        if not table.has(number):
+            take(batch, number)
+        if after is not None:
+            after(table.read(), number)
+
+    def take(batch: DataFrame, number: int) -> None:
+        rows = batch_rows(batch, spec, reference=reference)
         if rules:
-            good, bad = enforce(rows, list(rules))
+            rows, bad = enforce(rows, list(rules))
             if quarantine:
-                bad.withColumn("batch", F.lit(number)).write.mode("append").parquet(quarantine)
-            rows = good
-        old, keys = table.read(), list(spec.primary_key)
-        if mode.mode == "snapshot":
-            new = rows
-        elif not keys:
-            new = rows if old is None else old.unionByName(rows, allowMissingColumns=True)
-        elif mode.policy == "max_sequence_wins":
-            new = max_sequence(old, rows, keys, mode.order_by)
+                bad.write.mode("overwrite").parquet(f"{quarantine}/batch={number}")
+        if appends(spec):
+            table.append(apply_post_rules(rows, spec.ingestion.post_rules), number)
         else:
-            new = upsert(old, latest(rows, keys, mode.order_by), keys)
-        table.write(new)
-        _mark(spark, path, number)
+            table.write(after_batch(table.read(), rows, spec), number)
 
     watched = raw.observe("rows", F.count("*").alias("read"))
     return watched.writeStream.foreachBatch(one).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
+def gold_after(spark: SparkSession, gold: TableDefinition, name: str, others: dict[str, DataFrame], path: str) -> Callable[[DataFrame, int], None]:
+    """What `ingest_stream` calls to keep a derived table, a versioned one, up to date with the table that it fills, called `name` in
+    gold's specification; others are the tables that gold reads besides."""
+    out = VersionedTable(spark, path)
+
+    def refresh(table: DataFrame, number: int) -> None:
+        if not out.has(number):
+            out.write(compile_table(spark, gold, others | {name: table}), number)
+
+    return refresh
+
+
 def windowed_counts(stream: DataFrame, time: str, keys: list[str], width: str = "1 hour", late: str = "1 hour") -> DataFrame:
     """Counts by tumbling windows; rows later than `late` are left out."""
     return stream.withWatermark(time, late).groupBy(F.window(time, width), *keys).agg(F.count("*").alias("n")).select(F.col("window.start").alias("window_start"), *keys, "n")

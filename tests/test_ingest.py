@@ -1,3 +1,5 @@
+import pytest
+
 from loomspec.operators import ingest as I
 from loomspec.spec import Column, Ingestion, TableDefinition
 
@@ -75,3 +77,64 @@ def test_exclusions_and_post_rules(spark, rows):
     other = spark.createDataFrame([(2, True)], "k int, banned boolean")
     assert rows(I.excluded(df, ("xref.banned",), other, ["k"])) == [(1, 5)]
     assert rows(I.apply_post_rules(df, (("v > 10", "big", "'yes'"),))) == [(1, 5, None), (2, 50, "yes")]
+
+
+def test_null_keys_and_new_columns_in_merges(spark, rows):
+    spec = TableDefinition("t", (Column("k"), Column("v", "INTEGER", merge_strategy="keep_maximum"), Column("w")), ("k",))
+    old = spark.createDataFrame([(None, 5), ("b", 1)], "k string, v int")
+    new = spark.createDataFrame([(None, 3, "x"), ("c", 9, "y")], "k string, v int, w string")
+    assert rows(I.merged(old, new, spec)) == sorted([(None, 5, "x"), ("b", 1, None), ("c", 9, "y")], key=repr)
+    assert rows(I.scored_merge([old, old], ["k"], ["v"])) == sorted([(None, 5), ("b", 1)], key=repr)
+
+
+def test_scored_merge_shuffles_once(spark):
+    a = spark.createDataFrame([(1, "2024-01-01")], "k int, ts string")
+    plan = I.scored_merge([a, a], ["k"], ["ts"])._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1
+
+
+def test_batches_see_their_reference(spark, rows):
+    spec = TableDefinition("t", (Column("k"), Column("v", "INTEGER")), ("k",), ingestion=Ingestion("incremental", order_by=("v desc",), exclusions=("xref.banned",)))
+    raw = spark.createDataFrame([("a", "1"), ("b", "2")], "k string, v string")
+    banned = spark.createDataFrame([("a", True)], "k string, banned boolean")
+    assert rows(I.ingest_batch(None, raw, spec, reference=banned)) == [("b", 2)]
+
+
+def test_repeated_batch_changes_nothing(spark, tmp_path, rows):
+    """A batch that fails after its commit, or before it, is there once."""
+    from loomspec.sources.sinks import VersionedTable
+    from loomspec.spec import Rule
+    from loomspec.streaming import pipeline
+
+    spec = TableDefinition("t", (Column("k"), Column("v", "INTEGER")), ingestion=Ingestion("incremental"))
+    where = f"file://{tmp_path}"
+    rules = [Rule("values_to_not_be_null", "v", severity="error")]
+    schema = spark.createDataFrame([], "k string, v string").schema
+    spark.createDataFrame([("a", "1"), ("b", None)], schema).write.parquet(f"{where}/in")
+
+    def fail(table, number):
+        raise RuntimeError("after the commit")
+
+    def run(after=None):
+        stream = pipeline.file_stream(spark, f"{where}/in", schema)
+        pipeline.ingest_stream(stream, spec, f"{where}/t", f"{where}/c", rules, f"{where}/bad", after=after).awaitTermination()
+
+    with pytest.raises(Exception, match="after the commit"):
+        run(fail)
+    for _ in range(2):
+        run()
+    assert rows(VersionedTable(spark, f"{where}/t").read()) == [("a", 1)]
+    assert spark.read.parquet(f"{where}/bad").count() == 1
+
+
+def test_streams_take_merge_strategies(spark, tmp_path, rows):
+    from loomspec.sources.sinks import VersionedTable
+    from loomspec.streaming import pipeline
+
+    spec = TableDefinition("t", (Column("k"), Column("v", "INTEGER", merge_strategy="keep_maximum")), ("k",), ingestion=Ingestion("incremental", order_by=("v desc",), exclusions=("src.v > 100",), post_rules=(("v > 5", "big", "true"),)))
+    where = f"file://{tmp_path}"
+    schema = spark.createDataFrame([], "k string, v string").schema
+    for batch in ([("a", "9"), ("b", "1")], [("a", "3"), ("b", "999"), ("c", "2")]):
+        spark.createDataFrame(batch, schema).coalesce(1).write.mode("append").parquet(f"{where}/in")
+        pipeline.ingest_stream(pipeline.file_stream(spark, f"{where}/in", schema), spec, f"{where}/t", f"{where}/c").awaitTermination()
+    assert rows(VersionedTable(spark, f"{where}/t").read()) == sorted([("a", 9, True), ("b", 1, None), ("c", 2, None)], key=repr)

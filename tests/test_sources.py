@@ -23,6 +23,18 @@ def test_quirks(spark, tmp_path, rows):
     assert rows(readers.read(spark, spec(tmp_path / "empty.txt", skip_rows=1))) == []
 
 
+def test_quirks_are_each_files_own(spark, tmp_path, rows):
+    folder = tmp_path / "many"
+    folder.mkdir()
+    for k in range(3):
+        (folder / f"{k}.txt").write_text(f'preamble {k}\n\n"row|id"|note\n' + "".join(f"{k}{i}|x\n" for i in range(4)) + "TRAILER\n")
+    got = readers.read(spark, spec(folder, skip_rows=1, footer_rows=1))
+    assert got.columns == ["row|id", "note"]
+    assert rows(got) == sorted((f"{k}{i}", "x") for k in range(3) for i in range(4))
+    headless = readers.read(spark, spec(folder, skip_rows=2, header=False))
+    assert headless.count() == 15 and headless.columns == ["row_id", "note"]
+
+
 def test_json_paths(spark, tmp_path, rows):
     (tmp_path / "a.json").write_text('{"id": 1, "who": {"name": {"first": "A"}}}\n')
     s = TableDefinition("t", (Column("id"),), source=Source("json", str(tmp_path / "a.json"), projection={"id": "id", "first": "who.name.first"}))
@@ -84,3 +96,27 @@ def test_key_candidates(spark):
 def test_domains(spark):
     df = spark.createDataFrame([("a@b.co",), ("x@y.org",), (None,)], "email_address string")
     assert domains.infer(df, "email_address")[0] == "email" and domains.infer(None, "zzz")[0] == "unmapped"
+
+
+def test_appends_add_folders_and_commit_batches(spark, tmp_path, rows):
+    table = sinks.VersionedTable(spark, f"file://{tmp_path}/t")
+    assert table.read() is None and not table.has(0)
+    one, two = spark.createDataFrame([(1,)], "k int"), spark.createDataFrame([(2, "x")], "k int, v string")
+    table.append(one, 0)
+    first = table.current()[0]
+    table.append(two, 1)
+    assert table.current()[0][:1] == first and rows(table.read()) == sorted([(1, None), (2, "x")], key=repr)
+    assert table.has(1) and table.has(0) and not table.has(2)
+    table.write(two, 2)
+    table.write(one, 3)
+    left = {p.name for p in (tmp_path / "t").iterdir() if p.name.startswith("v-")}
+    assert rows(table.read()) == [(1,)] and len(left) == 2 and not left & set(first)
+
+
+def test_shared_folder_is_asked_for_on_a_cluster(spark, monkeypatch):
+    class Far:
+        conf = type("C", (), {"get": staticmethod(lambda *_: None)})
+        sparkContext = type("S", (), {"master": "spark://far:7077"})
+
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        sinks.shared_root(Far)
