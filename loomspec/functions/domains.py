@@ -38,6 +38,19 @@ DOMAINS: dict[str, dict] = {
     "person_last_name": {"names": ("last_name", "lname", "surname", "family_name"), "words": ("last name", "surname")},
     "visit_count": {"names": ("visit_count", "visits"), "words": ("visits",), "range": (0, None)},
     "url": {"names": ("url", "uri", "link", "website"), "words": ("url", "web address"), "regex": r"https?://\S+$"},
+    "address_line_1": {"names": ("address", "address_1", "address_line_1", "street", "street_address"), "words": ("address", "street")},
+    "amisys_member_id": {"names": ("amisys_id", "amisys_member_id", "client_member_id", "clientmemberid"), "words": ("amisys", "client member"), "regex": r"[A-Z]{2}\d{11}$", "length": (13, 13)},
+    "lob": {"names": ("lob", "line_of_business", "pbp_type", "pbptype", "plan_type", "coverage_type"), "words": ("line of business", "plan type", "coverage type"), "values": ("MEDICAID", "MEDICARE", "MARKETPLACE", "DUALS", "MD", "ME", "MP")},
+    "load_mode": {"names": ("load_mode", "file_mode", "source_load_mode"), "words": ("load mode", "file mode"), "values": ("I", "R", "A", "U")},
+    "plan_description": {"names": ("plan_description", "plan_desc", "plandesc", "plan_name"), "words": ("plan description",), "regex": r"[A-Z_]+_(MEDICAID|MEDICARE|MARKETPLACE|DUALS)$"},
+    "population_type": {"names": ("population", "population_type", "populationtype", "population_cd", "pop_type"), "words": ("population type", "population code"), "regex": r"([A-Z]{2}|[A-Za-z\s]+)$"},
+    "project_code": {"names": ("project_code", "proj_code", "assignment"), "words": ("project code", "assignment"), "regex": r"[A-Z0-9].{0,49}$"},
+    "project_number": {"names": ("project", "project_number", "proj_num", "project_id"), "words": ("project number", "project id"), "regex": r"\d+$"},
+    "ranking_tier": {"names": ("rank", "tier", "risk_tier", "total_rank", "totalrank", "priority_tier"), "words": ("rank", "tier", "priority"), "values": ("1", "2", "3", "4", "5", "6", "99", "100", "115")},
+    "reporting_population": {"names": ("reporting_population", "rptpop", "report_pop", "h_contract", "hcontract", "contract"), "words": ("reporting population", "h-contract"), "regex": r"(HMO|H\d{4})$"},
+    "schedule_type": {"names": ("schedule_type", "scheduling_type"), "words": ("schedule type", "scheduling channel"), "values": ("TEL", "POR")},
+    "service_type": {"names": ("service_type", "assessment_type"), "words": ("service type", "assessment type"), "values": ("IHA", "TEL", "AUD", "RET")},
+    "vendor_identifier": {"names": ("vendor", "vendor_id", "vendor_name", "vendor_code", "outreach_vendor"), "words": ("vendor",), "regex": r"[A-Z][A-Z0-9]*(-[A-Z]+)*$"},
     "unmapped": {"names": (), "words": ()},
 }
 #: Abbreviations in names.

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from functools import reduce
 from itertools import combinations
 
 from pyspark.sql import Column, DataFrame
@@ -12,6 +13,8 @@ from loomspec.functions.digests import collapsed, pattern
 
 FEW_VALUES, TOP = 50, 20
 QUANTILES = (0.05, 0.25, 0.5, 0.75, 0.95)
+#: Of a full profile.
+ALL_QUANTILES = (0.01, 0.05, 0.1, 0.25, 0.5, 0.75, 0.9, 0.95, 0.99)
 
 
 def numeric(df: DataFrame) -> list[str]:
@@ -30,30 +33,47 @@ def _long(df: DataFrame, aggregates: dict[str, dict[str, Column]]) -> DataFrame:
     return wide.select(F.explode(rows).alias("r")).select("r.*")
 
 
-def completeness(df: DataFrame, columns: list[str] | None = None, exact: bool = True) -> DataFrame:
-    """(column, n, non_null, completeness, distinct_count): exact, or approximate for all but floats."""
+def _distinct(*columns: Column) -> Column:
+    """About how many distinct values, or combinations of values without NULL, there are: one sketch, whose relative error is 1.6 %."""
+    there = columns[0].isNotNull()
+    for c in columns[1:]:
+        there = there & c.isNotNull()
+    return F.hll_sketch_estimate(F.hll_sketch_agg(F.when(there, F.xxhash64(*columns)), F.lit(12)))
+
+
+def completeness(df: DataFrame, columns: list[str] | None = None, exact: bool = False) -> DataFrame:
+    """(column, n, non_null, completeness, distinct_count). Distinct counts come from sketches in the one aggregation, or, if
+    exact, from an aggregation by value for each column, which reads that column alone: no row is multiplied by the columns."""
     columns = columns or df.columns
-    kinds = {f.name: f.dataType for f in df.schema.fields}
     x = {c: F.col(f"`{c}`") for c in columns}
-    distinct = {c: F.count_distinct(x[c]) if exact or isinstance(kinds[c], T.FloatType | T.DoubleType) else F.approx_count_distinct(x[c]) for c in columns}
-    out = _long(df, {"n": {c: F.count("*") for c in columns}, "non_null": {c: F.count(x[c]) for c in columns}, "distinct_count": distinct})
+    if exact:
+        out = reduce(DataFrame.unionAll, (_exact(df, c) for c in columns))
+    else:
+        out = _long(df, {"n": {c: F.count("*") for c in columns}, "non_null": {c: F.count(x[c]) for c in columns}, "distinct_count": {c: _distinct(F.to_json(x[c]) if isinstance(df.schema[c].dataType, T.MapType) else x[c]) for c in columns}})
     return out.select("column", "n", "non_null", F.when(F.col("n") > 0, F.round(F.col("non_null") / F.col("n"), 6)).otherwise(0.0).alias("completeness"), "distinct_count")
 
 
-def numeric_summary(df: DataFrame, columns: list[str] | None = None, exact: bool = True, places: int = 4) -> DataFrame:
-    """Extremes, moments and quantiles of all numeric columns in one pass; exact quantiles, or approximate ones that need less memory."""
+def _exact(df: DataFrame, column: str) -> DataFrame:
+    """A column's row of counts; its values are counted in the map tasks first."""
+    by_value = df.groupBy(F.col(f"`{column}`").alias("v")).agg(F.count("*").alias("k"))
+    return by_value.agg(F.coalesce(F.sum("k"), F.lit(0)).alias("n"), F.coalesce(F.sum(F.when(F.col("v").isNotNull(), F.col("k"))), F.lit(0)).alias("non_null"), F.count("v").alias("distinct_count")).select(F.lit(column).alias("column"), "*")
+
+
+def numeric_summary(df: DataFrame, columns: list[str] | None = None, exact: bool = False, places: int = 4, quantiles: tuple[float, ...] = QUANTILES) -> DataFrame:
+    """Extremes, moments and quantiles of all numeric columns in one pass; quantiles from sketches of a bounded size, or exact
+    ones, which hold a column's distinct values in memory."""
     columns = columns or numeric(df)
     x = {c: F.col(f"`{c}`").cast("double") for c in columns}
     quantile = (lambda c, q: F.percentile(x[c], F.lit(q))) if exact else (lambda c, q: F.percentile_approx(x[c], F.lit(q), F.lit(10000)))
     stats = {"min": F.min, "max": F.max, "mean": F.avg, "stddev": F.stddev_samp, "sum": F.sum, "skewness": F.skewness, "kurtosis": F.kurtosis}
-    out = _long(df, {s: {c: f(x[c]) for c in columns} for s, f in stats.items()} | {f"p{int(100 * q)}": {c: quantile(c, q) for c in columns} for q in QUANTILES})
+    out = _long(df, {s: {c: f(x[c]) for c in columns} for s, f in stats.items()} | {f"p{round(100 * q)}": {c: quantile(c, q) for c in columns} for q in quantiles})
     return out.select("column", *(F.round(s, places).alias(s) for s in out.columns if s != "column"))
 
 
-def text_summary(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
+def text_summary(df: DataFrame, columns: list[str] | None = None, exact: bool = False) -> DataFrame:
     columns = columns or texts(df)
     n = {c: F.length(F.col(f"`{c}`")) for c in columns}
-    stats = {"min_length": F.min, "max_length": F.max, "avg_length": F.avg, "median_length": lambda x: F.percentile(x, F.lit(0.5)), "empty": lambda x: F.count_if(x == 0)}
+    stats = {"min_length": F.min, "max_length": F.max, "avg_length": F.avg, "median_length": lambda x: F.percentile(x, F.lit(0.5)) if exact else F.percentile_approx(x, F.lit(0.5), F.lit(10000)).cast("double"), "empty": lambda x: F.count_if(x == 0)}
     out = _long(df, {s: {c: f(n[c]) for c in columns} for s, f in stats.items()})
     return out.withColumn("avg_length", F.round("avg_length", 4))
 
@@ -116,7 +136,8 @@ def sample_values(df: DataFrame, column: str, n: int = 10) -> DataFrame:
 def key_candidates(df: DataFrame, width: int = 3, most: int = 12) -> DataFrame:
     """(columns, distinct_count, unique) of column sets that may be keys, the best first; only minimal ones are marked unique.
 
-    Complete columns are ranked by their share of distinct values; the sets' exact counts come from one aggregation.
+    Complete columns are ranked by their share of distinct values. Sketches tell how many distinct values each set has, in one
+    aggregation; only sets that may be unique by that are counted exactly, and only until a smaller set of them is.
     """
     stats = [r for r in completeness(df).collect() if r["n"] and r["non_null"] == r["n"]]
     kinds = {f.name: f.dataType for f in df.schema.fields}
@@ -127,14 +148,17 @@ def key_candidates(df: DataFrame, width: int = 3, most: int = 12) -> DataFrame:
     sets = sets[:most]
     if not sets:
         return df.sparkSession.createDataFrame([], "columns string, distinct_count bigint, unique boolean")
-    got = df.agg(F.count("*").alias("n"), *(F.count_distinct(F.struct(*(F.col(f"`{c}`") for c in s))).alias(f"k{i}") for i, s in enumerate(sets))).first()
+    got = df.agg(F.count("*").alias("n"), *(_distinct(*(F.col(f"`{c}`") for c in s)).alias(f"k{i}") for i, s in enumerate(sets))).first()
     unique: list[tuple] = []
     rows = []
-    for s, n in sorted(((s, got[f"k{i}"]) for i, s in enumerate(sets)), key=lambda x: len(x[0])):
-        minimal = n == got["n"] and not any(set(u) < set(s) for u in unique)
-        if minimal:
-            unique.append(s)
-        rows.append((",".join(s), n, minimal))
+    for w in range(1, width + 1):  # one job for each width
+        about = {s: got[f"k{i}"] for i, s in enumerate(sets) if len(s) == w}
+        above = {s for s in about if any(set(u) < set(s) for u in unique)}  # holds a key, so it is one, but not a minimal one
+        near = [s for s, n in about.items() if n >= 0.9 * got["n"] and s not in above]
+        counts = [df.select(*(F.col(f"`{c}`") for c in s)).distinct().agg(F.lit(i).alias("i"), F.count("*").alias("n")) for i, s in enumerate(near)]
+        exact = {near[r["i"]]: r["n"] for r in reduce(DataFrame.unionAll, counts).collect()} if near else {}
+        unique += [s for s, n in exact.items() if n == got["n"]]
+        rows += [(",".join(s), got["n"] if s in above else exact.get(s, n), s in unique) for s, n in about.items()]
     return df.sparkSession.createDataFrame(rows, "columns string, distinct_count bigint, unique boolean")
 
 

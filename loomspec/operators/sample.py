@@ -4,10 +4,10 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from loomspec.functions.domains import infer
+from loomspec.functions.domains import DOMAINS, infer
 from loomspec.functions.formats import to_java
 from loomspec.schema import MOMENTS, NUMBERS, TEXT_TYPES, may_be_null, spark_type
 from loomspec.spec import Column as ColumnSpec
@@ -23,6 +23,15 @@ POOLS = {
     "yes_no_flag": ("Y", "N"),
     "claim_status": ("OPEN", "PAID", "DENIED"),
 }
+#: Forms of made values, by domain; domains with a list of values draw from it.
+FORMS = {
+    "zip_code": r"\d{5}", "npi": r"1\d{9}", "phone_number": r"555-\d{3}-\d{4}", "loinc_code": r"\d{4}-\d", "ndc_code": r"\d{5}-\d{4}-\d{2}", "drg_code": r"\d{3}", "revenue_code": r"0\d{3}",
+    "bill_type_code": r"\d{3}", "place_of_service": r"\d{2}", "modifier_code": r"[A-Z][A-Z0-9]", "tax_id": r"\d{2}-\d{7}", "member_id": r"MBR\d{8}", "claim_number": r"CLM\d{9}", "calendar_year": r"20[0-2]\d",
+    "amisys_member_id": r"[A-Z]{2}\d{11}", "vendor_identifier": r"[A-Z]{4}-[A-Z]{3}", "project_number": r"\d{5}", "project_code": r"[A-Z]{3}\d{4}", "reporting_population": r"H\d{4}", "population_type": r"[A-Z]{2}",
+    "plan_description": r"[A-Z]{6}_MEDICARE", "address_line_1": r"\d{3} [A-Z][a-z]{5} St", "url": r"https://example\.com/\d{6}", "us_county": r"[A-Z][a-z]{6} County",
+}
+#: Parts that the keys of a pool are numbered in.
+POOL_PARTS = 256
 
 
 def draw(seed: int, *salt) -> Column:
@@ -88,15 +97,18 @@ def value(c: ColumnSpec, seed: int, rules: dict | None = None) -> Column:
         moment = F.timestamp_seconds(F.lit(1577836800) + F.pmod(draw(seed, salt), F.lit(126230400)))
         out = F.to_date(moment) if kind == "DATE" else moment
     elif kind in NUMBERS:
-        low, high = rules.get("min_value", 0), rules.get("max_value", 1000)
+        least, most = DOMAINS.get(domain, {}).get("range", (0, 1000))
+        low, high = rules.get("min_value", least), rules.get("max_value", 1000 if most is None else most)
         out = F.lit(low) + unit(seed, salt) * (high - low)
         out = F.floor(out) if kind not in ("DECIMAL", "FLOAT", "DOUBLE") else F.round(out, c.scale if c.scale is not None else 2)
     elif domain in POOLS:
         out = pick(POOLS[domain], seed, salt)
     elif domain == "email":
         out = F.concat(F.lower(pick(POOLS["person_first_name"], seed, salt)), F.lit("."), F.col("id").cast("string"), F.lit("@example.com"))
-    elif domain in ("zip_code", "npi", "phone_number"):
-        out = from_regex({"zip_code": r"\d{5}", "npi": r"1\d{9}", "phone_number": r"555-\d{3}-\d{4}"}[domain], seed, salt)
+    elif domain in FORMS:
+        out = from_regex(FORMS[domain], seed, salt)
+    elif DOMAINS.get(domain, {}).get("values"):
+        out = pick(DOMAINS[domain]["values"], seed, salt)
     else:
         out = F.concat(F.lit(c.name[:8] + "_"), F.lpad(F.col("id").cast("string"), 6, "0"))
     if kind in TEXT_TYPES:
@@ -133,14 +145,25 @@ def generate(spark: SparkSession, specs: dict[str, TableDefinition], rows: int |
         df = df.select(*columns)
         for c in [x for x in df.columns if x.startswith("__pool_")]:
             own = c.removeprefix("__pool_")
-            keys = pools[parents[own]].distinct()
-            n = keys.count()
-            numbered = keys.toDF(own).orderBy(own).limit(n).rdd.zipWithIndex().map(lambda x: (x[1], x[0][0])).toDF(["__n", own])
-            df = df.withColumn("__n", F.pmod(F.col(c), F.lit(n))).join(numbered, "__n", "left").drop("__n", c)
+            df = _from_pool(df, c, own, pools[parents[own]])
         out[name] = df.select(*(c.name for c in spec.ordered()))
     return out
 
 
+def _from_pool(df: DataFrame, number: str, name: str, pool: DataFrame) -> DataFrame:
+    """df with a key of the pool as `name` for each number: keys have places by the order of their hashes within POOL_PARTS parts."""
+    keys = pool.toDF(name).where(F.col(name).isNotNull()).distinct()
+    placed = keys.withColumn("__part", F.pmod(F.xxhash64(name), F.lit(POOL_PARTS)))
+    placed = placed.withColumn("__at", F.row_number().over(Window.partitionBy("__part").orderBy(F.xxhash64(name, F.lit(1)), name)) - 1)
+    sizes = [(r["__part"], r["n"]) for r in placed.groupBy("__part").agg(F.count("*").alias("n")).collect()]  # POOL_PARTS rows at most
+    if not sizes:
+        return df.withColumn(name, F.lit(None).cast(keys.schema[name].dataType)).drop(number)
+    parts = F.array(*(F.struct(F.lit(p).cast("bigint").alias("part"), F.lit(n).cast("bigint").alias("n")) for p, n in sorted(sizes)))
+    chosen = parts[F.pmod(F.col(number), F.lit(len(sizes))).cast("int")]
+    df = df.withColumn("__chosen", chosen).withColumns({"__part": F.col("__chosen.part"), "__at": F.pmod(F.floor(F.col(number) / len(sizes)), F.col("__chosen.n")).cast("int")})
+    return df.join(placed, ["__part", "__at"], "left").drop("__part", "__at", "__chosen", number)
+
+
 def key_value(c: ColumnSpec, n: Column) -> Column:
     """The key of row n of its table."""
     if c.type.upper() in TEXT_TYPES:
