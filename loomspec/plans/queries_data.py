@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -12,13 +12,15 @@ from loomspec.functions.digests import row_checksum
 from loomspec.operators import drift as D
 from loomspec.operators import ingest as I
 from loomspec.operators import profile as P
+from loomspec.operators.rules import Context, verdicts
 from loomspec.operators.sample import generate
 from loomspec.plans.lineage import consumers
 from loomspec.plans.queries_gold import col, of, tables
 from loomspec.schema import spark_type
+from loomspec.sources import readers
 from loomspec.sources.readers import json_column
-from loomspec.sources.sinks import format_for_output
-from loomspec.spec import Column, Ingestion, Metadata, Relationship, TableDefinition
+from loomspec.sources.sinks import History, format_for_output, shared_root
+from loomspec.spec import Column, Ingestion, Metadata, Relationship, Rule, Source, TableDefinition
 
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -203,7 +205,7 @@ _HOLE_COLUMNS = ("l_orderkey", "l_linenumber", "l_quantity", "l_discount", "l_re
 
 @query(f"WITH t AS ({_HOLES}) " + " UNION ALL ".join(f"SELECT '{c}' AS \"column\", count(*) AS n, count({c}) AS non_null, round(count({c}) / count(*), 6) AS completeness, count(DISTINCT {c}) AS distinct_count FROM t" for c in _HOLE_COLUMNS))
 def profile_completeness(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return P.completeness(holes(spark, sf_dir))
+    return P.completeness(holes(spark, sf_dir), exact=True)
 
 
 def _moments(c: str) -> str:
@@ -215,12 +217,12 @@ def _moments(c: str) -> str:
 
 @query("WITH t AS (SELECT l_quantity, l_tax FROM lineitem) " + " UNION ALL ".join(_moments(c) for c in ("l_quantity", "l_tax")))
 def profile_numeric(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return P.numeric_summary(tables(spark, sf_dir, "lineitem")["lineitem"], ["l_quantity", "l_tax"])
+    return P.numeric_summary(tables(spark, sf_dir, "lineitem")["lineitem"], ["l_quantity", "l_tax"], exact=True)
 
 
 @query(" UNION ALL ".join(f"SELECT '{c}' AS \"column\", min(length({c})) AS min_length, max(length({c})) AS max_length, round(avg(length({c})), 4) AS avg_length, quantile_cont(length({c}), 0.5) AS median_length, count(*) FILTER (WHERE {c} = '') AS empty FROM documents" for c in ("text", "lang", "source")))
 def profile_strings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return P.text_summary(tables(spark, sf_dir, "documents")["documents"], ["text", "lang", "source"]).withColumns({c: F.col(c).cast("bigint") for c in ("min_length", "max_length")})
+    return P.text_summary(tables(spark, sf_dir, "documents")["documents"], ["text", "lang", "source"], exact=True).withColumns({c: F.col(c).cast("bigint") for c in ("min_length", "max_length")})
 
 
 @query("SELECT o_custkey::VARCHAR AS value, count(*) AS n FROM orders GROUP BY 1 ORDER BY n DESC, value LIMIT 20")
@@ -254,7 +256,12 @@ def profile_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
     return P.sample_values(tables(spark, sf_dir, "customer")["customer"], "c_name")
 
 
-@query()
+#: The column sets that come out best at the scale of the comparison.
+_KEYS = ("o_orderkey", "o_orderkey,o_custkey", "o_orderkey,o_custkey,o_orderpriority", "o_orderkey,o_orderdate", "o_orderkey,o_orderpriority", "o_orderkey,o_orderstatus", "o_totalprice", "o_totalprice,o_custkey", "o_totalprice,o_orderdate", "o_totalprice,o_orderkey", "o_totalprice,o_orderpriority", "o_totalprice,o_orderstatus")
+
+
+@query(f"""WITH c AS ({' UNION ALL '.join(f"SELECT '{k}' AS columns, count(DISTINCT ({k})) AS n, count(*) AS total FROM orders" for k in _KEYS)})
+SELECT columns, n AS distinct_count, n = total AND NOT EXISTS (SELECT 1 FROM c o WHERE o.n = o.total AND o.columns <> c.columns AND list_has_all(string_split(c.columns, ','), string_split(o.columns, ','))) AS "unique" FROM c""")
 def profile_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
     return P.key_candidates(tables(spark, sf_dir, "orders")["orders"])
 
@@ -367,7 +374,8 @@ def schema_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # Lineage and sample data
 
-@query()
+@query("""SELECT * FROM (VALUES ('customer', 'c_custkey', 'enriched', 'o_custkey', 'join key'), ('customer', 'c_name', 'enriched', 'c_name', 'column'), ('enriched', 'c_name', 'names', 'c_name', 'column'),
+('enriched', 'count(*)', 'names', 'n', 'aggregate'), ('orders', 'o_orderkey', 'enriched', 'o_orderkey', 'column')) t(source_table, source_column, target_table, target_column, usage)""")
 def lineage_consumers(spark: SparkSession, sf_dir: str) -> DataFrame:
     specs = {"orders": TableDefinition("orders", (Column("o_orderkey", "BIGINT"), Column("o_custkey", "BIGINT"))), "customer": TableDefinition("customer", (Column("c_custkey", "BIGINT"), Column("c_name")))}
     specs["enriched"] = TableDefinition("enriched", (col("o_orderkey", "BIGINT", of("orders", "o_orderkey")), col("c_name", "VARCHAR", of("customer", "c_name"))), relationships=(Relationship("customer", (("o_custkey", "c_custkey"),)),), metadata=Metadata("orders"))
@@ -382,15 +390,117 @@ def sample_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     return made["child"].join(made["parent"], "parent_id").select("child_id", "parent_id", "state", "amount", "email")
 
 
+# Sources: tables are written out as text and read back through their specifications
+
+def _folder(spark: SparkSession, name: str) -> str:
+    return f"{shared_root(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+_PARTIES = "SELECT c_custkey::VARCHAR AS c_custkey, c_name, nullif(c_mktsegment, 'BUILDING') AS segment, c_acctbal::DECIMAL(15,2)::VARCHAR AS c_acctbal"
+
+
+def _parties(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tables(spark, sf_dir, "customer")["customer"].selectExpr("cast(c_custkey AS string) AS c_custkey", "c_name", "nullif(c_mktsegment, 'BUILDING') AS segment", "cast(cast(c_acctbal AS decimal(15,2)) AS string) AS c_acctbal")
+
+
+@query(f"{_PARTIES} FROM customer")
+def read_delimited(spark: SparkSession, sf_dir: str) -> DataFrame:
+    where = _folder(spark, "delimited")
+    _parties(spark, sf_dir).write.option("header", True).option("sep", "|").csv(where)
+    return readers.read(spark, TableDefinition("party", tuple(Column(c) for c in ("c_custkey", "c_name", "segment", "c_acctbal")), source=Source("delimited", where)))
+
+
+@query(f"{_PARTIES} FROM customer")
+def read_quirky(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Several files, each with a preamble, comments, a header and a trailer of its own."""
+    where = _folder(spark, "quirky")
+    rows = _parties(spark, sf_dir).select(F.pmod(F.xxhash64("c_custkey"), F.lit(5)).alias("file"), F.lit(2).alias("part"), F.col("c_custkey").alias("at"), F.concat_ws("~", *(F.coalesce(F.col(c), F.lit("\\N")) for c in ("c_custkey", "c_name", "segment", "c_acctbal"))).alias("value"))
+    around = spark.range(5).select(F.col("id").alias("file"), F.explode(F.array(*(F.struct(F.lit(p).alias("part"), F.lit(v).alias("value")) for p, v in ((0, "report of parties"), (1, "c_custkey~c_name~segment~c_acctbal"), (3, "# end of rows"), (4, "TRAILER"))))).alias("x")).select("file", "x.part", F.lit("").alias("at"), "x.value")
+    rows.unionByName(around).repartition("file").sortWithinPartitions("file", "part", "at").select("file", "value").write.partitionBy("file").text(where)
+    return readers.read(spark, TableDefinition("party", tuple(Column(c) for c in ("c_custkey", "c_name", "segment", "c_acctbal")), source=Source("delimited", where, {"delimiter": "~", "skip_rows": 1, "footer_rows": 1, "comment": "#"})))
+
+
+@query("SELECT n_nationkey AS nation_id, n_name AS nation_name, n_regionkey FROM nation")
+def map_header(spark: SparkSession, sf_dir: str) -> DataFrame:
+    spec = TableDefinition("nation", (Column("nation_id", "BIGINT", aliases=("N_NationKey",)), Column("nation_name", canonical_name="n_name")))
+    return readers.map_header(tables(spark, sf_dir, "nation")["nation"].select("n_nationkey", "n_name", "n_regionkey"), spec)
+
+
+@query("SELECT o_orderkey, 'orders.parquet' AS file, true AS stamped FROM orders")
+def raw_provenance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    raw = readers.with_provenance(tables(spark, sf_dir, "orders")["orders"].select("o_orderkey", "_metadata"), from_files=True)
+    return raw.select("o_orderkey", F.regexp_extract("_source_file", r"([^/]+)$", 1).alias("file"), F.col("_load_ts").isNotNull().alias("stamped"))
+
+
+@query("""SELECT 'not_null' AS rule, count(*) AS element_count, count(*) FILTER (WHERE nullif(value, 10) IS NULL) AS unexpected_count FROM events
+UNION ALL SELECT 'in_set', count(*), count(*) FILTER (WHERE event_type NOT IN ('click', 'view')) FROM events""")
+def quality_results(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Verdicts into the history of runs and out of it, the last run's for each rule."""
+    rules = [Rule("values_to_not_be_null", "value", name="not_null"), Rule("values_to_be_in_set", "event_type", {"value_set": ("click", "view")}, name="in_set")]
+    runs = History(spark, _folder(spark, "quality"))
+    rows = tables(spark, sf_dir, "events")["events"].withColumn("value", F.nullif("value", F.lit(10)))
+    for k in (1, 2):
+        runs.append(verdicts(rows, rules).withColumns({"run_id": F.lit(f"run{k}"), "run_timestamp": F.make_timestamp(F.lit(2024), F.lit(1), F.lit(k), F.lit(0), F.lit(0), F.lit(0))}))
+    return runs.latest(["rule"]).select("rule", F.col("element_count").cast("bigint").alias("element_count"), F.col("unexpected_count").cast("bigint").alias("unexpected_count"))
+
+
+# Rules against a baseline: the events of the first half are what the second half is compared with
+
+def _against(name: str, rule: Rule, element_sql: str, base, rows) -> None:
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        return verdicts(rows(spark, sf_dir), [rule], Context({}, baseline=base(spark, sf_dir))).select("rule", "element_count", "unexpected_count", "success")
+
+    QUERIES[name], ORACLE_SQL[name] = run, f"SELECT '{rule.id}' AS rule, 1 AS element_count, u::BIGINT AS unexpected_count, u = 0 AS success FROM ({element_sql})"
+
+
+_against("rule_row_count_change", Rule("row_count_change_within_percent", None, {"percent": 1.0}, name="change"),
+    f"SELECT CASE WHEN abs(100.0 * (b - a) / a) > 1 THEN 1 ELSE 0 END AS u FROM (SELECT count(*) FILTER (WHERE {_HALF}) a, count(*) FILTER (WHERE NOT ({_HALF})) b FROM events)",
+    lambda s, d: D.capture(halves(s, d)[0]), lambda s, d: halves(s, d)[1])
+_against("rule_distribution_stable", Rule("column_distribution_stable", "event_type", {"threshold": 0.001}, name="stable"),
+    f"SELECT CASE WHEN js > 0.001 THEN 1 ELSE 0 END AS u FROM ({ORACLE_SQL['drift_smoothed_js']})",
+    lambda s, d: D.capture(halves(s, d)[0]), lambda s, d: halves(s, d)[1])
+_against("rule_record_changes", Rule("record_changes_within_limits", None, {"primary_key": ("k",), "max_added_percent": 50, "max_removed_percent": 50, "max_modified_percent": 1}, name="records"),
+    f"SELECT CASE WHEN 100.0 * sum(n) FILTER (WHERE status = 'modified') / sum(n) FILTER (WHERE status <> 'added') > 1 OR 100.0 * coalesce(sum(n) FILTER (WHERE status = 'added'), 0) / sum(n) FILTER (WHERE status <> 'added') > 50 OR 100.0 * coalesce(sum(n) FILTER (WHERE status = 'removed'), 0) / sum(n) FILTER (WHERE status <> 'added') > 50 THEN 1 ELSE 0 END AS u FROM ({_DIFF})",
+    lambda s, d: D.capture(versions(s, d)[0], ["k"]), lambda s, d: versions(s, d)[1])
+
+
+@query("SELECT * FROM (VALUES (0, 1.5::DOUBLE), (1, 3.5), (2, 5.0)) t(bin, n)")
+def drift_rebinned(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts of four bins of width one, on three of other widths."""
+    counts = D.rebinned([0.0, 1.0, 2.0, 3.0, 4.0], [1.0, 2.0, 3.0, 4.0], [0.0, 1.25, 2.666666666666667, 4.0])
+    return spark.createDataFrame([(i, round(n, 6)) for i, n in enumerate(counts)], "bin int, n double")
+
+
+@query(f"""SELECT 'value' AS "column", 'numeric' AS kind, psi, ks FROM ({ORACLE_SQL['drift_psi_numeric']}), ({ORACLE_SQL['drift_ks']})""")
+def drift_dispatch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    got = D.compare_column(*halves(spark, sf_dir), "value")
+    return spark.createDataFrame([(got["column"], got["kind"], got["psi"], got["ks"])], "column string, kind string, psi double, ks double")
+
+
+@query("""WITH raw AS (SELECT nullif(o_custkey, 7) AS k, o_orderdate AS ts, o_orderkey AS v, 0 AS src FROM orders WHERE o_orderstatus = 'F' UNION ALL SELECT nullif(o_custkey, 7), o_orderdate, o_orderkey, 1 FROM orders WHERE o_orderstatus <> 'F')
+SELECT k, ts, v FROM (SELECT *, row_number() OVER (PARTITION BY k ORDER BY ts DESC, src, v) AS rn FROM raw) WHERE rn = 1""")
+def ingest_scored_merge_null_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = tables(spark, sf_dir, "orders")["orders"].select(F.nullif("o_custkey", F.lit(7)).alias("k"), F.col("o_orderdate").alias("ts"), F.col("o_orderkey").alias("v"), "o_orderstatus")
+    one, two = (rows.where(c).drop("o_orderstatus") for c in ("o_orderstatus = 'F'", "o_orderstatus <> 'F'"))
+    return I.scored_merge([one, two], ["k"], ["ts"])
+
+
+@query("""WITH o AS (SELECT nullif(c_custkey, 5) AS k, c_acctbal AS least FROM customer), n AS (SELECT nullif(c_custkey + 10, 15) AS k, c_acctbal - 1 AS least, c_mktsegment AS segment FROM customer)
+SELECT coalesce(o.k, n.k) AS k, CASE WHEN p IS NULL THEN o.least WHEN q IS NULL THEN n.least ELSE least(o.least, n.least) END AS least, n.segment FROM (SELECT *, 1 AS q FROM o) o FULL OUTER JOIN (SELECT *, 1 AS p FROM n) n ON o.k IS NOT DISTINCT FROM n.k""")
+def ingest_merge_null_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """NULL keys are alike, and a column that only the new rows have is kept."""
+    c = tables(spark, sf_dir, "customer")["customer"]
+    old = c.select(F.nullif("c_custkey", F.lit(5)).alias("k"), F.col("c_acctbal").alias("least"))
+    new = c.select(F.nullif(F.col("c_custkey") + 10, F.lit(15)).alias("k"), (F.col("c_acctbal") - 1).alias("least"), F.col("c_mktsegment").alias("segment"))
+    return I.merged(old, new, TableDefinition("t", (Column("k", "BIGINT"), Column("least", "DOUBLE", merge_strategy="keep_minimum"), Column("segment")), ("k",)))
+
+
 # Streams: the events in files, in three micro-batches
 
 def _streamed(spark: SparkSession, sf_dir: str, name: str) -> tuple[DataFrame, str]:
     from loomspec.streaming.pipeline import file_stream
 
-    root = (spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="loomspec-stream-")).rstrip("/")
-    import uuid
-
-    root = f"{root}/{name}-{uuid.uuid4().hex}"
+    root = _folder(spark, name)
     events = tables(spark, sf_dir, "events")["events"].select("event_id", "user_id", "event_type", "value")
     events.repartition(3, "event_id").write.parquet(f"{root}/in")
     return file_stream(spark, f"{root}/in", events.schema, files_per_batch=1), root
@@ -418,7 +528,6 @@ def stream_upsert_latest(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("SELECT event_id, user_id, event_type, value FROM events WHERE event_type <> 'error' AND value <= 90")
 def stream_constraints(spark: SparkSession, sf_dir: str) -> DataFrame:
     from loomspec.sources.sinks import VersionedTable
-    from loomspec.spec import Rule
     from loomspec.streaming.pipeline import ingest_stream
 
     stream, root = _streamed(spark, sf_dir, "constraints")
@@ -426,3 +535,32 @@ def stream_constraints(spark: SparkSession, sf_dir: str) -> DataFrame:
     rules = [Rule("values_to_not_be_in_set", "event_type", {"value_set": ("error",)}), Rule("values_to_be_between", "value", {"max_value": 90}, severity="error"), Rule("values_to_be_between", "value", {"max_value": 50}, severity="info")]
     ingest_stream(stream, spec, f"{root}/out", f"{root}/checkpoint", rules, f"{root}/bad").awaitTermination()
     return VersionedTable(spark, f"{root}/out").read()
+
+
+@query("SELECT e.user_id, e.event_type, e.value, c.c_name FROM (SELECT * FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY value DESC, event_id DESC) = 1) e LEFT JOIN customer c ON e.user_id = c.c_custkey")
+def stream_gold(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A derived table that is made anew after each micro-batch of its source."""
+    from loomspec.sources.sinks import VersionedTable
+    from loomspec.streaming.pipeline import gold_after, ingest_stream
+
+    stream, root = _streamed(spark, sf_dir, "gold")
+    silver = TableDefinition("last_event", (Column("event_id", "BIGINT", position=1), Column("user_id", "BIGINT", position=2), Column("event_type", position=3), Column("value", "DOUBLE", position=4)), ("user_id",), ingestion=Ingestion("incremental", order_by=("value desc", "event_id desc"), policy="max_sequence_wins"))
+    gold = TableDefinition("user_state", (col("user_id", "BIGINT", of("last_event", "user_id")), col("event_type", "VARCHAR", of("last_event", "event_type")), col("value", "DOUBLE", of("last_event", "value")), col("c_name", "VARCHAR", of("customer", "c_name"))), ("user_id",), relationships=(Relationship("customer", (("user_id", "c_custkey"),)),), metadata=Metadata("last_event"))
+    refresh = gold_after(spark, gold, "last_event", tables(spark, sf_dir, "customer"), f"{root}/gold")
+    ingest_stream(stream, silver, f"{root}/out", f"{root}/checkpoint", after=refresh).awaitTermination()
+    return VersionedTable(spark, f"{root}/gold").read()
+
+
+@query("SELECT event_id, user_id, event_type, value FROM events WHERE event_id = (SELECT max(event_id) FROM events)")
+def stream_snapshot(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each batch replaces the table: the last file is the row of the last event."""
+    from loomspec.sources.sinks import VersionedTable
+    from loomspec.streaming.pipeline import file_stream, snapshot_stream
+
+    root = _folder(spark, "snapshot")
+    events = tables(spark, sf_dir, "events")["events"].select("event_id", "user_id", "event_type", "value")
+    last = events.agg(F.max_by(F.struct(*events.columns), "event_id").alias("r")).select("r.*")
+    for batch in (events, last):
+        batch.write.mode("append").parquet(f"{root}/in")
+        snapshot_stream(file_stream(spark, f"{root}/in", events.schema), f"{root}/out", f"{root}/checkpoint").awaitTermination()
+    return VersionedTable(spark, f"{root}/out").read()
