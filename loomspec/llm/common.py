@@ -11,20 +11,13 @@ from pathlib import Path
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from loomspec.sources.sinks import shared_root
+
 ID = "__id"
 TEXT = "__text"
 ROW = "__row"
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or one of our own where it is unset."""
-    path = spark.conf.get("spark.checkpoint.dir", None)
-    if not path:
-        path = "file://" + tempfile.mkdtemp(prefix="loomspec-")
-        spark.conf.set("spark.checkpoint.dir", path)
-    return path.rstrip("/")
-
-
 def _delete(spark: SparkSession, path: str) -> None:
     try:
         jvm = spark.sparkContext._jvm
@@ -36,7 +29,7 @@ def _delete(spark: SparkSession, path: str) -> None:
 
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A new path below the shared folder, removed when the driver's Python ends."""
-    path = f"{shared_dir(spark)}/loomspec/{name}-{uuid.uuid4().hex}"
+    path = f"{shared_root(spark)}/loomspec/{name}-{uuid.uuid4().hex}"
     atexit.register(_delete, spark, path)
     return path
 
@@ -70,6 +63,14 @@ def ship(spark: SparkSession) -> None:
     _SHIPPED.add(app)
 
 
+def unused(name: str, columns: list[str]) -> str:
+    """A column name that is not among the given ones, whatever their case."""
+    there = {c.lower() for c in columns}
+    while name.lower() in there:
+        name += "_"
+    return name
+
+
 def id_text(docs: DataFrame, id_col: str, text_col: str, null_as_empty: bool = True) -> DataFrame:
     """Only the id and the text, under names of our own, so that no other column can clash."""
     ship(docs.sparkSession)
@@ -86,6 +87,31 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: A key with more than this part of all rows is hot. Fewer keys than HOT_PARTS can be.
+HOT_PARTS = 1000
+
+
+def spread_join(rows: DataFrame, found: DataFrame, keys: list[str], value: str, weight: str, spread: Column) -> DataFrame:
+    """rows, with the value that found has for their keys (null where it has none). found is a written table with a row for each key.
+
+    weight is how many rows have the key. Hot keys, fewer than HOT_PARTS by counting, are broadcast; the rows that they serve
+    go anywhere (by spread, a 64-bit number) in the join with the others, so no task gets all rows of one key.
+    """
+    total = found.agg(F.sum(weight)).first()[0] or 0
+    key = F.xxhash64(*keys)  # only deals the rows out; the keys themselves are compared, too
+    hot = found.where(F.col(weight) * HOT_PARTS > total).select(*(F.col(k).alias(f"__hot_{k}") for k in keys), F.col(value).alias("__hot"))
+    rest = found.where(F.col(weight) * HOT_PARTS <= total).select(*(F.col(k).alias(f"__rest_{k}") for k in keys), F.col(value).alias("__rest"), key.alias("__key"))
+
+    def same(side: str) -> Column:
+        out = F.col(keys[0]) == F.col(f"__{side}_{keys[0]}")
+        for k in keys[1:]:
+            out = out & (F.col(k) == F.col(f"__{side}_{k}"))
+        return out
+
+    known = rows.join(F.broadcast(hot), same("hot"), "left").withColumn("__deal", F.when(F.col("__hot").isNull(), key).otherwise(spread))
+    return known.join(rest, same("rest") & (F.col("__deal") == F.col("__key")), "left").select(*rows.columns, F.coalesce("__hot", "__rest").alias(value))
+
+
 def bounded_memo(limit: int):
     """A dict that computes what it lacks with .make and is emptied when it holds `limit` entries, so memory stays bounded."""
 

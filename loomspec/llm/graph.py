@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from loomspec.llm.common import saved
 
 
+#: Tasks among which the neighbours of a hub are dealt out.
+PARTS = 8
+
+
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """(node, component): the smallest node that can be reached, for each node of an edge. Edges need no order; loops and repeats do no harm.
 
@@ -16,12 +20,16 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """
     pairs = edges.select(F.col(a).cast("bigint").alias("node"), F.col(b).cast("bigint").alias("near")).where("node <> near")
     pairs = saved(pairs.unionByName(pairs.select(F.col("near").alias("node"), F.col("node").alias("near"))).distinct(), "edges")
-    labels = saved(pairs.groupBy("node").agg(F.least(F.min("near"), F.col("node")).alias("label")), "labels")
+    labels = pairs.groupBy("node").agg(F.least(F.min("near"), F.col("node")).alias("label"))
+    parts, part = F.array(*map(F.lit, range(PARTS))), lambda node: F.pmod(F.xxhash64(node), F.lit(PARTS)).cast("int")
     while True:
-        near = pairs.join(labels.select(F.col("node").alias("near"), "label"), "near").groupBy("node").agg(F.min("label").alias("best"))
+        # a hub's label goes to several tasks, as its neighbours do
+        dealt = labels.select("node", "label", F.explode(parts).alias("part"))
+        near = pairs.withColumn("part", part("node")).join(dealt.withColumnRenamed("node", "near"), ["near", "part"]).groupBy("node").agg(F.min("label").alias("best"))
         best = labels.join(near, "node").select("node", "label", F.least("label", "best").alias("best"))
-        up = labels.select(F.col("node").alias("best"), F.col("label").alias("up"))
-        labels = saved(best.join(up, "best").select("node", F.col("label").alias("old"), F.least("best", "up").alias("label")), "labels")
-        if labels.where("old <> label").isEmpty():
-            return labels.select("node", F.col("label").alias("component"))
-        labels = labels.select("node", "label")
+        up = dealt.select(F.col("node").alias("best"), F.col("label").alias("up"), "part")
+        found = best.withColumn("part", part("node")).join(up, ["best", "part"]).select("node", F.col("label").alias("old"), F.least("best", "up").alias("label"))
+        changes = Observation()
+        labels = saved(found.observe(changes, F.count_if(F.col("old") != F.col("label")).alias("n")), "labels").select("node", "label")
+        if not changes.get.get("n"):
+            return labels.withColumnRenamed("label", "component")

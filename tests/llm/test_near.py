@@ -58,6 +58,63 @@ def test_components_against_brute_force(documents, prose):
         assert got == brute(rows, size, percent)
 
 
+def near_group(prose):
+    """Many copies of a text that is itself not there: some pairs are links, most are not, and no star links them all."""
+    r, base, rows = random.Random(9), prose(150, 77).split(), []
+    other = [w if k % 7 else "variant" for k, w in enumerate(base)]  # a second family, near the first but not linked with it
+    for i in range(240):
+        copy = list(base if i % 3 else other)
+        for _ in range(r.randint(0, 6)):
+            copy[r.randrange(len(copy))] = prose(1, r.random())
+        rows.append((i, " ".join(copy)))
+    return rows
+
+
+def test_large_group_against_brute_force(documents, prose):
+    rows = near_group(prose)
+    wanted = brute(rows, 3, 85)
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in near_dedup.near_duplicates(documents(rows), 3, 85).collect()}
+    assert got == wanted and 20 < len({c for _, c in wanted.values()}) < 220
+
+
+def test_one_bucket_loses_no_link(spark, documents, prose):
+    """A and B are linked, the hub of their only bucket is linked with neither."""
+    from loomspec.llm.common import id_text
+
+    a = prose(100, 1).split()
+    rows = [(1, " ".join([*a, *prose(400, 5).split()])), (2, " ".join(a)), (3, " ".join([*a[:50], "x", *a[51:]]))]
+    texts = id_text(documents(rows), "doc_id", "text")
+    for hub in (1, 2, 3):
+        signed = near_dedup.signatures(texts, 3).withColumnsRenamed({"__id": "first"})
+        nodes = signed.select((F.col("first") + F.when(F.col("first") == hub, 0).otherwise(10)).alias("node"), "first", "s1", "s2", "n", "parity", F.lit(1).alias("m"), F.array(F.lit(7).cast("bigint")).alias("bands"))
+        found = {r["node"]: r["component"] for r in components(near_dedup._links(nodes, texts, 3, 85)).collect()}
+        two, three = (i + (0 if i == hub else 10) for i in (2, 3))
+        assert found.get(two) is not None and found.get(two) == found.get(three) and found.get(1 if hub == 1 else 11) is None
+
+
+def test_whole_table_against_brute_force(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    got = {r["doc_id"]: r["component_id"] for r in near_dedup.near_duplicates(docs, 3, 85).collect()}
+    assert got == {i: c for i, (_, c) in brute([(r["doc_id"], r["text"]) for r in docs.select("doc_id", "text").collect()], 3, 85).items()}
+
+
+def test_sketches_never_rule_out_a_link():
+    rng, parity = np.random.default_rng(4), near_dedup.Parity()
+    for n in (3, 40, 700):
+        x = rng.integers(0, 2**63, 2 * n, dtype=np.uint64)
+        for shared in (n, n - 1, n // 2):
+            a, b = x[:n], np.concatenate([x[:shared], x[n : 2 * n - shared]])
+            apart = sum(int(v).bit_count() for v in (parity(a) ^ parity(b)).view(np.uint64))
+            assert apart <= 2 * (n - shared) and (apart > 0) == (shared < n)
+
+
+def test_rows_of_one_id_with_different_texts(documents, prose):
+    a, b = prose(60, 1), prose(60, 2)
+    rows = [(5, a), (5, b), (3, a), (9, b), (7, prose(60, 3))]
+    got = {(r["doc_id"], r["component_id"]) for r in near_dedup.near_duplicates(documents(rows), 3, 85).collect()}
+    assert got == {(5, 3), (3, 3), (9, 3), (7, 7)}
+
+
 def test_odd_rows(documents, odd_rows):
     got = near_dedup.near_duplicates(documents(odd_rows).withColumn("node", F.lit(0)), 3, 85).collect()
     by = {r["doc_id"]: r for r in got}
@@ -117,6 +174,30 @@ def test_planted_passages(documents, prose):
     assert passages.repeated_passages(documents(rows).limit(0)).count() == 0
 
 
+def test_very_frequent_key_in_several_rounds(documents, prose, monkeypatch):
+    """Windows of one key beyond what is linked at a time."""
+    monkeypatch.setattr(passages, "AT_ONCE", 40)
+    monkeypatch.setattr(passages, "BLOCK", 500)
+    shared = prose(60, 1)
+    rows = [(i, prose(30, 100 + i) + " " + shared + " " + prose(30, 900 + i)) for i in range(150)]
+    got = passages.repeated_passages(documents(rows, 1)).collect()
+    assert {r["component_id"] for r in got} == {0} and len({r["doc_id"] for r in got}) == 150
+
+
+def test_recall_of_changed_passages(documents, prose):
+    """Passages of 60 to 120 words, every 30th word or so changed: nearly all pairs are found."""
+    r, rows = random.Random(5), []
+    for g in range(60):
+        passage = prose(r.randint(60, 120), 10_000 + g).split()
+        for side in range(2):
+            own = list(passage)
+            if side:
+                own[r.randrange(20, len(own) - 20)] = "changed"
+            rows.append((2 * g + side, prose(40, 20_000 + 2 * g + side) + " " + " ".join(own) + " " + prose(40, 30_000 + 2 * g + side)))
+    got = {(x["doc_id"], x["partner_id"]) for x in passages.repeated_passages(documents(rows, 4)).collect()}
+    assert got <= {(i, i ^ 1) for i in range(120)} and len(got) >= 0.95 * 120
+
+
 def test_hot_passage_is_linked_as_a_star(documents, prose):
     shared = prose(60, 1)
     rows = [(i, prose(20, 100 + i) + " " + shared + " " + prose(20, 900 + i)) for i in range(120)]
