@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 from loomspec.llm.common import saved
 
-
 #: Tasks among which the neighbours of a hub are dealt out.
 PARTS = 8
 
@@ -18,8 +17,9 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     Each round replaces every label by the smallest among the neighbours' (a hub's rows are combined in the map tasks), then
     by that label's own label, so a path shortens by more than half and stars end after two rounds.
     """
-    pairs = edges.select(F.col(a).cast("bigint").alias("node"), F.col(b).cast("bigint").alias("near")).where("node <> near")
-    pairs = saved(pairs.unionByName(pairs.select(F.col("near").alias("node"), F.col("node").alias("near"))).distinct(), "edges")
+    ends = edges.select(F.col(a).cast("bigint").alias("a"), F.col(b).cast("bigint").alias("b")).where("a <> b")
+    both = F.array(F.struct(F.col("a").alias("node"), F.col("b").alias("near")), F.struct(F.col("b").alias("node"), F.col("a").alias("near")))
+    pairs = saved(ends.select(F.explode(both).alias("p")).select("p.node", "p.near").distinct(), "edges")
     labels = pairs.groupBy("node").agg(F.least(F.min("near"), F.col("node")).alias("label"))
     parts, part = F.array(*map(F.lit, range(PARTS))), lambda node: F.pmod(F.xxhash64(node), F.lit(PARTS)).cast("int")
     while True:
@@ -33,3 +33,13 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         labels = saved(found.observe(changes, F.count_if(F.col("old") != F.col("label")).alias("n")), "labels").select("node", "label")
         if not changes.get.get("n"):
             return labels.withColumnRenamed("label", "component")
+
+
+def relabelled(labels: DataFrame, edges: DataFrame) -> DataFrame:
+    """The components (node, component) after more edges (a, b): only the edges between components are followed."""
+    one, two = (labels.select(F.col("node").alias(x), F.col("component").alias(f"of_{x}")) for x in "ab")
+    both = edges.select("a", "b").join(one, "a", "left").join(two, "b", "left").select(F.coalesce("of_a", "a").alias("a"), F.coalesce("of_b", "b").alias("b"))
+    moved = components(both.where("a <> b")).select(F.col("node").alias("component"), F.col("component").alias("to"))
+    old = labels.join(moved, "component", "left").select("node", F.coalesce("to", "component").alias("component"))
+    # nodes that no edge had yet
+    return saved(old.unionByName(moved.select(F.col("component").alias("node"), F.col("to").alias("component")).join(labels.select("node"), "node", "left_anti")), "labels")

@@ -34,7 +34,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from loomspec.llm.common import ID, TEXT, id_text, saved, spread_join, unused
-from loomspec.llm.graph import components
+from loomspec.llm.graph import components, relabelled
 from loomspec.llm.shingles import WordHashes, mix, shingles
 
 BANDS, ROWS = 32, 5
@@ -161,12 +161,13 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, id_col: s
     # equal sets are one node; its number is written once and read from then on
     distinct = usable.groupBy("s1", "s2").agg(F.min(ID).alias("first"), F.count("*").alias("m"), F.first("n").alias("n"), F.first("parity").alias("parity"), F.first("bands").alias("bands"))
     nodes = saved(distinct.withColumn("node", F.monotonically_increasing_id()), "nodes")
-    edges = _links(nodes, texts, size, percent)
+    labels = _labels(nodes, texts, size, percent)
     # rows of one id with different texts
     twice = usable.groupBy(ID).agg(F.count("*").alias("rows")).where("rows > 1").select(ID)
     sets_of = usable.join(twice, ID, "left_semi").select(ID, "s1", "s2").distinct().join(nodes.select("s1", "s2", "node"), ["s1", "s2"])
     firsts = sets_of.groupBy(ID).agg(F.min("node").alias("a"))
-    found = components(edges.unionByName(sets_of.join(firsts, ID).where("a <> node").select("a", F.col("node").alias("b"))))
+    same = saved(sets_of.join(firsts, ID).where("a <> node").select("a", F.col("node").alias("b")), "same-ids")
+    found = labels if same.isEmpty() else relabelled(labels, same)
     linked = nodes.select("node", "s1", "s2", "first", "m").join(found, "node", "left")
     smallest = linked.where("component is not null").groupBy("component").agg(F.min("first").alias("component_id"))
     named = linked.join(smallest, "component", "left").select("s1", "s2", "m", F.coalesce("component_id", "first").alias("component_id"))
@@ -175,38 +176,36 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, id_col: s
     return out.select(F.col(ID).alias(id_col), F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(component == F.col(ID), F.lit(True)).alias("kept"))
 
 
-def _links(nodes: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
-    """Confirmed links (a, b) between nodes that share a bucket: enough of them that what a link connects is connected."""
-    spark = nodes.sparkSession
-    none = spark.createDataFrame([], "a bigint, b bigint")
+def _labels(nodes: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
+    """(node, component) of nodes that confirmed links connect, of all that nodes that share a bucket have."""
     rows = nodes.select("node", F.explode("bands").alias("key"))
     hubs = rows.groupBy("key").agg(F.min("node").alias("hub"), F.count("*").alias("m")).where("m > 1")
     members = saved(rows.join(hubs, "key").select("key", "node", "hub", "m"), "members")
     if members.isEmpty():
-        return none
+        return nodes.sparkSession.createDataFrame([], "node bigint, component bigint")
     chosen = nodes.join(members.select("node").distinct(), "node", "left_semi")
     info = nodes.select("node", "n", "parity")
     owners = chosen.select("node", F.col("first").alias(ID), "s1", "s2")
     whose = texts.join(owners.select(ID).distinct(), ID, "left_semi")
     sets = saved(full_sets(whose, size).dropDuplicates([ID, "s1", "s2"]).join(owners, [ID, "s1", "s2"]).select("node", "elements"), "sets")
     pairs = _likely(members.select(F.col("hub").alias("a"), F.col("node").alias("b")), info, percent)
-    links = saved(confirmed(pairs, sets, percent), "links")
-    found = components(links)
-    labelled = members.where("m > 2").join(found, "node", "left").select("key", "node", "hub", F.coalesce("component", "node").alias("component"))
+    labels = components(confirmed(pairs, sets, percent))
+    labelled = members.where("m > 2").join(labels, "node", "left").select("key", "node", F.coalesce("component", "node").alias("component"))
     several = labelled.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high")
-    live = saved(labelled.join(several.select("key"), "key", "left_semi").select("node", "hub").distinct(), "live")
-    return links if live.isEmpty() else _completed(live, links, info, sets, percent)
+    live = saved(labelled.join(several.select("key", "low"), "key").select("node", "component", "low").distinct(), "live")
+    return labels if live.isEmpty() else _completed(live, labels, info, sets, percent)
 
 
-def _completed(live: DataFrame, links: DataFrame, info: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """links and those that they lack within the groups that live, (node, hub), connects.
+def _completed(live: DataFrame, labels: DataFrame, info: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """labels after the links that they lack within the groups of components that live, (node, component, low), connects.
 
     With p for percent, sets A and B are linked if (100 + p) * |A xor B| <= (100 - p) * (|A| + |B|). For D(A) = A xor C, of any
     C, A xor B is D(A) xor D(B): with excess(A) = (100 + p) * |D(A)| - (100 - p) * |A|, they are linked if
     2 * (100 + p) * |D(A) & D(B)| >= excess(A) + excess(B).
     """
     up, down = 100 + percent, 100 - percent
-    group = components(live.select(F.col("node").alias("a"), F.col("hub").alias("b"))).select("node", F.col("component").alias("g"))
+    near = components(live.where("component <> low").select(F.col("component").alias("a"), F.col("low").alias("b")).distinct())
+    group = live.select("node", "component").distinct().join(near.select(F.col("node").alias("component"), F.col("component").alias("g")), "component").select("node", "g")
     sizes = group.groupBy("g").agg(F.count("*").alias("members"))
     parts = F.ceil(F.col("members") / GROUP_PART).cast("int")
     grouped = saved(group.join(sizes, "g").withColumn("part", F.pmod(F.xxhash64("node"), parts).cast("int")).drop("members").join(sets, "node"), "group-sets")
@@ -221,8 +220,8 @@ def _completed(live: DataFrame, links: DataFrame, info: DataFrame, sets: DataFra
     nearest = facts.groupBy("g").agg(F.min("excess").alias("least"), F.min_by("node", F.struct("excess", "node")).alias("middle"))
     facts = facts.join(nearest, "g")
     star = facts.where((F.col("excess") + F.col("least") <= 0) & (F.col("node") != F.col("middle"))).select(F.least("node", "middle").alias("a"), F.greatest("node", "middle").alias("b"))
-    links = links.unionByName(star)
-    labelled = _labelled(differing.select("g", "node"), links)
+    labels = relabelled(labels, star)
+    labelled = _labelled(differing, labels)
     open_groups = labelled.groupBy("g").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("g")
     # elements that two differences hold, the rarest first; those of one alone come before all others
     left = facts.join(open_groups, "g", "left_semi")
@@ -234,26 +233,26 @@ def _completed(live: DataFrame, links: DataFrame, info: DataFrame, sets: DataFra
     # a partner of less excess asks for as much in common as the least of the group would at least, one of more for what a partner alike would
     probes = saved(places.where(F.col("at") <= F.col("size") - F.greatest(F.lit(1), "asked")).withColumn("indexed", F.col("at") <= F.col("size") - F.greatest(F.lit(1), "given")), "prefixes")
     if probes.isEmpty():
-        return links
+        return labels
     heads = probes.where("indexed").groupBy("g", "element").agg(F.min_by("node", F.struct("excess", "node")).alias("a"))
     stars = _likely(probes.join(heads, ["g", "element"]).select("a", F.col("node").alias("b")), info, percent)
-    before = labelled.select(F.col("node"), "component")
-    stars = _between(stars, before)
+    stars = _between(stars, labelled)
     more = saved(confirmed(stars, sets, percent), "links")
     if not more.isEmpty():
-        links = links.unionByName(more)
-        labelled = _labelled(differing.select("g", "node"), links)
+        labels = relabelled(labels, more)
+        labelled = _labelled(differing, labels)
     full = probes.join(labelled.drop("g"), "node").join(info.select("node", "parity"), "node")
     side = lambda x: full.where("indexed" if x == "a" else "true").select("g", "element", *(F.col(c).alias(f"{c}_{x}") for c in ("node", "n", "size", "excess", "at", "component", "parity")))
     room = 2 * up * F.least(F.col("size_a") - F.col("at_a"), F.col("size_b") - F.col("at_b")) >= F.col("excess_a") + F.col("excess_b")
     first = (F.col("excess_a") < F.col("excess_b")) | (F.col("excess_a") == F.col("excess_b")) & (F.col("node_a") < F.col("node_b"))
     last = side("a").join(side("b"), ["g", "element"]).where((F.col("component_a") != F.col("component_b")) & first & room & _possible(F.col("n_a"), F.col("parity_a"), F.col("n_b"), F.col("parity_b"), percent))
     last = last.select(F.least("node_a", "node_b").alias("a"), F.greatest("node_a", "node_b").alias("b")).distinct()
-    return links.unionByName(confirmed(last, sets, percent))
+    final = saved(confirmed(last, sets, percent), "links")
+    return labels if final.isEmpty() else relabelled(labels, final)
 
 
-def _labelled(nodes: DataFrame, links: DataFrame) -> DataFrame:
-    return nodes.join(components(links), "node", "left").withColumn("component", F.coalesce("component", "node"))
+def _labelled(nodes: DataFrame, labels: DataFrame) -> DataFrame:
+    return nodes.select("g", "node").join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
 
 
 def _between(pairs: DataFrame, labelled: DataFrame) -> DataFrame:

@@ -4,7 +4,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from loomspec.llm import near_dedup, passages
-from loomspec.llm.graph import components
+from loomspec.llm.graph import components, relabelled
 
 
 def sets_of(rows, size):
@@ -87,7 +87,7 @@ def test_one_bucket_loses_no_link(spark, documents, prose):
     for hub in (1, 2, 3):
         signed = near_dedup.signatures(texts, 3).withColumnsRenamed({"__id": "first"})
         nodes = signed.select((F.col("first") + F.when(F.col("first") == hub, 0).otherwise(10)).alias("node"), "first", "s1", "s2", "n", "parity", F.lit(1).alias("m"), F.array(F.lit(7).cast("bigint")).alias("bands"))
-        found = {r["node"]: r["component"] for r in components(near_dedup._links(nodes, texts, 3, 85)).collect()}
+        found = {r["node"]: r["component"] for r in near_dedup._labels(nodes, texts, 3, 85).collect()}
         two, three = (i + (0 if i == hub else 10) for i in (2, 3))
         assert found.get(two) is not None and found.get(two) == found.get(three) and found.get(1 if hub == 1 else 11) is None
 
@@ -139,6 +139,12 @@ def test_chain_component(spark):
     assert {got[i] for i in range(61)} == {0} and got[101] == 100
 
 
+def test_more_edges_between_components(spark):
+    labels = components(spark.createDataFrame([(1, 2), (3, 4), (3, 5), (8, 9)], "a bigint, b bigint"))
+    got = {r["node"]: r["component"] for r in relabelled(labels, spark.createDataFrame([(5, 2), (4, 3), (20, 21), (9, 30)], "a bigint, b bigint")).collect()}
+    assert got == {1: 1, 2: 1, 3: 1, 4: 1, 5: 1, 8: 8, 9: 8, 30: 8, 20: 20, 21: 20}
+
+
 def test_windows_against_brute_force():
     rng = np.random.default_rng(1)
     old = passages.LEAST
