@@ -4,8 +4,8 @@ A text's terms are its distinct lower-case words and the beginnings of the longe
 hashed into 2**24 buckets. The model holds a weight and a vector of
 `FACTORS` numbers for each bucket that is frequent enough in the training sample; a pair of terms adds the product of
 their vectors, so that words which are harmless apart can count together. The training sample is bounded
-(training.SAMPLE_ROWS); scoring reads every whole text. Null and empty texts have no terms and get the bias alone. Repeated
-rows keep a row each; null ids stay null; other columns are not read; an empty table gives an empty result. Where no row is
+(training.SAMPLE_ROWS), and terms that fewer than `LEAST_TEXTS` of its texts have are left out; scoring reads every whole
+text, however long. Null and empty texts have no terms and get the bias alone. Repeated rows keep a row each; null ids stay null; other columns are not read; an empty table gives an empty result. Where no row is
 labelled, every score is 0.
 """
 
@@ -17,19 +17,21 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from loomspec.llm.common import ID, TEXT, bounded_memo, id_text, ship
+from loomspec.llm.common import ID, TEXT, bounded_memo, id_text, saved, ship
 from loomspec.llm.training import labelled_sample, sigmoid
 
 BUCKETS = 1 << 24
 FACTORS = 6
-#: Terms must be in this many training texts; at most this many terms, the most frequent, are kept.
+#: Terms must be in this many texts of the training sample.
 LEAST_TEXTS = 8
-MOST_TERMS = 1 << 16
 EPOCHS = 12
+#: Parts in which the sample goes to the driver.
+PARTS = 8
 #: How much more a toxic text weighs than a clean one, and how much slower factors learn than weights.
 RARE_WEIGHT, FACTOR_STEP = 1.5, 0.1
 MEMO_ENTRIES = 400_000
@@ -47,16 +49,36 @@ def buckets(word: str) -> tuple[int, ...]:
 
 
 def distinct_buckets(texts: DataFrame) -> DataFrame:
-    """(label, terms): the distinct buckets of each text, in order, as bytes of 32-bit integers: compact on the driver."""
+    """(label, key, terms): the distinct buckets of each text, in order, and a digest of them."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memo = bounded_memo(MEMO_ENTRIES)
         memo.make = buckets
         for batch in batches:
-            terms = [np.array(sorted(set().union(*map(memo.__getitem__, set(WORDS(x.lower()))))), "<i4").tobytes() for x in batch.column(TEXT).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column("label"), pa.array(terms, pa.binary())], names=["label", "terms"])
+            terms = [np.array(sorted(set().union(*map(memo.__getitem__, set(WORDS(x.lower()))))), np.int32) for x in batch.column(TEXT).to_pylist()]
+            keys = pa.array([xxhash.xxh3_64_intdigest(x.tobytes()) >> 1 for x in terms], pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column("label"), keys, pa.array(terms, pa.list_(pa.int32()))], names=["label", "key", "terms"])
 
-    return texts.select("label", TEXT).mapInArrow(run, "label double, terms binary")
+    return texts.select("label", TEXT).mapInArrow(run, "label double, key bigint, terms array<int>")
+
+
+def numbered_terms(rows: DataFrame, terms: np.ndarray) -> DataFrame:
+    """rows with the places of their terms among the given ones, as bytes of 32-bit integers; other terms are left out."""
+    shared = rows.sparkSession.sparkContext.broadcast(terms)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept = shared.value
+        for batch in batches:
+            column = batch.column("terms")
+            flat, offsets = column.flatten().to_numpy(), column.offsets.to_numpy() - column.offsets[0].as_py()
+            at = np.searchsorted(kept, flat)
+            known = kept[np.minimum(at, len(kept) - 1)] == flat if len(kept) else np.zeros(len(flat), bool)
+            ends = np.concatenate([[0], np.cumsum(known)])[offsets]
+            places = at[known].astype("<i4").tobytes()
+            out = [places[4 * a : 4 * b] for a, b in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column("label"), batch.column("key"), pa.array(out, pa.binary())], names=["label", "key", "terms"])
+
+    return rows.mapInArrow(run, "label double, key bigint, terms binary")
 
 
 class FactorizationMachine:
@@ -76,38 +98,29 @@ class FactorizationMachine:
         return out
 
 
-def fit(labels: np.ndarray, terms: list[np.ndarray], seed: int = 11) -> FactorizationMachine:
-    """Adagrad on mini-batches of the log loss, with L2 on weights and factors."""
+def fit(labels: np.ndarray, terms: np.ndarray, index: np.ndarray, offsets: np.ndarray, seed: int = 11) -> FactorizationMachine:
+    """Adagrad on mini-batches of the log loss, with L2 on weights and factors. Text i has terms[index[offsets[i]:offsets[i + 1]]]."""
     rng = np.random.default_rng(seed)
-    found, df = np.unique(np.concatenate(terms) if terms else np.zeros(0, np.int32), return_counts=True)
-    often = np.flatnonzero(df >= LEAST_TEXTS)
-    kept = np.sort(found[often[np.lexsort((found[often], -df[often]))[:MOST_TERMS]]])
-    del found, df
-    rows = []
-    for row in terms:
-        at = np.searchsorted(kept, row)
-        rows.append(at[(at < len(kept)) & (kept[np.minimum(at, len(kept) - 1)] == row)] if len(kept) else at[:0])
-    n, k = len(kept), FACTORS
+    n, k = len(terms), FACTORS
     rate = min(max(labels.mean() if len(labels) else 0.0, 1e-6), 1 - 1e-6)
     w, v = np.zeros(n), rng.normal(0, 0.02, (n, k))
-    model = FactorizationMachine(kept.astype(np.int64), float(np.log(rate / (1 - rate))), w, v)
+    model = FactorizationMachine(terms.astype(np.int64), float(np.log(rate / (1 - rate))), w, v)
     if not n or labels.min() == labels.max():
         return model
     sum_w, sum_v, sum_b, step, l2 = np.full(n, 1e-6), np.full((n, k), 1e-6), 1e-6, 0.15, 2e-4
     weight = np.where(labels > 0, RARE_WEIGHT, 1.0)
     for epoch in range(EPOCHS):
-        order = rng.permutation(len(rows))
+        order = rng.permutation(len(labels))
         for first in range(0, len(order), 256):
             chosen = order[first : first + 256]
-            lens = np.array([len(rows[i]) for i in chosen])
-            index = np.concatenate([rows[i] for i in chosen]) if lens.sum() else np.zeros(0, np.int64)
-            offsets = np.concatenate([[0], np.cumsum(lens)])
+            lens = offsets[chosen + 1] - offsets[chosen]
+            own = np.concatenate([index[offsets[i] : offsets[i + 1]] for i in chosen])
             row = np.repeat(np.arange(len(chosen)), lens)
-            error = (sigmoid(model.raw(index, offsets)) - labels[chosen]) * weight[chosen]
-            used, inverse = np.unique(index, return_inverse=True)
+            error = (sigmoid(model.raw(own, np.concatenate([[0], np.cumsum(lens)]))) - labels[chosen]) * weight[chosen]
+            used, inverse = np.unique(own, return_inverse=True)
             grad = np.bincount(inverse, error[row], len(used)) / len(chosen) + l2 * w[used]
             sum_w[used] += grad**2
-            vi = v[index]
+            vi = v[own]
             total = np.stack([np.bincount(row, vi[:, f], len(chosen)) for f in range(k)], 1)
             pull = error[row][:, None] * (total[row] - vi)
             grad_v = np.stack([np.bincount(inverse, pull[:, f], len(used)) for f in range(k)], 1) / len(chosen) + l2 * v[used]
@@ -122,9 +135,19 @@ def fit(labels: np.ndarray, terms: list[np.ndarray], seed: int = 11) -> Factoriz
 
 def train(docs: DataFrame, labels: DataFrame, learn_from, label_col: str = "toxic", id_col: str = "doc_id", text_col: str = "text") -> FactorizationMachine:
     """Fit on the bounded sample of labelled rows; learn_from(crc) tells which rows may be learnt from."""
-    sample = distinct_buckets(labelled_sample(docs, labels, label_col, learn_from, id_col, text_col)).toPandas()
-    rows = sorted(zip(sample["label"], map(bytes, sample["terms"]), strict=True))  # whatever order they came in
-    return fit(np.array([x[0] for x in rows], float), [np.frombuffer(x[1], "<i4") for x in rows])
+    sample = saved(distinct_buckets(labelled_sample(docs, labels, label_col, learn_from, id_col, text_col)), "labelled-terms")
+    # the sample bounds the terms, too: fewer than its words, and their beginnings, divided by LEAST_TEXTS
+    often = sample.select(F.explode("terms").alias("term")).groupBy("term").agg(F.count("*").alias("n")).where(F.col("n") >= LEAST_TEXTS)
+    terms = np.sort(often.select("term").toArrow()["term"].to_numpy())
+    labels_of, sizes, places = [], [], []
+    for part in range(PARTS):  # a part at a time, so that neither half of the driver holds the sample twice
+        rows = numbered_terms(sample.where(F.pmod("key", F.lit(PARTS)) == part), terms).toArrow()
+        order = np.lexsort([rows["key"].to_numpy(), rows["label"].to_numpy()])  # whatever order they came in
+        labels_of.append(rows["label"].to_numpy()[order])
+        own = [x.as_py() for x in rows["terms"]]
+        sizes.append(np.array([len(own[i]) // 4 for i in order], np.int64))
+        places.append(np.frombuffer(b"".join(own[i] for i in order), "<i4"))
+    return fit(np.concatenate(labels_of), terms, np.concatenate(places), np.concatenate([[0], np.cumsum(np.concatenate(sizes))]))
 
 
 def score(docs: DataFrame, model: FactorizationMachine, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -142,7 +165,7 @@ def score_column(docs: DataFrame, model: FactorizationMachine, out_col: str, tex
 def _scored(texts: DataFrame, carry: str, model: FactorizationMachine) -> DataFrame:
     """(carry, score)."""
     terms, bias, weights, factors = model.terms, model.bias, model.weights, model.factors
-    shared = texts.sparkSession.sparkContext.broadcast((terms, bias, weights, factors))  # at most MOST_TERMS * (FACTORS + 2) numbers
+    shared = texts.sparkSession.sparkContext.broadcast((terms, bias, weights, factors))  # FACTORS + 2 numbers for each term of the bounded sample
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         machine = FactorizationMachine(*shared.value)
