@@ -26,6 +26,12 @@ def test_lines_against_sql(spark, documents, prose):
     assert len(kept) == 53 and kept[202] == "" and kept[200] is None and kept[203] == "\n\n" and "Shared" not in kept[0]
 
 
+def test_lines_by_join_are_the_same(documents, prose):
+    docs = documents(lines(prose)).withColumn("key", F.lit(1))
+    one, two = (sorted((tuple(r) for r in line_dedup.remove_boilerplate(docs, removed_col="n", most_lines=most).collect()), key=repr) for most in (100, 0))
+    assert one == two and any(r[-1] for r in one)
+
+
 @pytest.mark.parametrize("sites", [9, 10, 11, 40])
 def test_threshold_is_exact(documents, sites):
     docs = documents([(i, "footer", f"s{i}") for i in range(sites)] + [(1000 + i, "footer", "s0") for i in range(50)])
