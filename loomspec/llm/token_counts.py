@@ -4,8 +4,10 @@ Texts are normalised, digested together with the tokenizer's version, and looked
 distinct texts that the table lacks are encoded, and their counts are appended. Null texts count as empty. Repeated rows
 keep a row each; a null id stays null. An empty table gives an empty result. Other columns of the input are not read.
 
-Texts whose digests agree share one encoding, so a hot group of copies costs one encoding: the aggregation by digest
-combines copies in the map tasks, before anything is shuffled.
+Where there are stored counts, digests alone meet them first, and only texts that they lack are fetched: a run that finds all
+of them moves no text. Texts whose digests agree share one encoding, so a hot group of copies costs one encoding: the
+aggregation by digest combines copies in the map tasks, before anything is shuffled. The counts of very frequent texts are
+broadcast on their way back. A very long text is one row and is encoded whole, in blocks.
 """
 
 from __future__ import annotations
@@ -23,8 +25,10 @@ import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from loomspec.llm.common import ID, TEXT, id_text
+from loomspec.llm.common import ID, TEXT, id_text, saved, spread_join
 
+#: Digests of new texts that are broadcast, 32 bytes each; more of them meet the texts in a shuffle.
+MOST_SENT = 500_000
 #: Entries of each of a worker's two tables of counts, and characters of text that are split at a time.
 TABLE_ENTRIES = 800_000
 BLOCK_CHARS = 200_000
@@ -138,16 +142,16 @@ def counter(path: str) -> Counter:
 
 
 def encode_misses(misses: DataFrame, path: str) -> DataFrame:
-    """(digest, n_tokens) of each row's text."""
+    """(digest, n_tokens, copies): the count of each row's text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         count = counter(path)
         gc.disable()  # many small lists live for one block; nothing here makes cycles
         for batch in batches:
             got = count(batch.column("text").to_pylist())
-            yield pa.RecordBatch.from_arrays([batch.column("digest"), pa.array(got, pa.int64())], names=["digest", "n_tokens"])
+            yield pa.RecordBatch.from_arrays([batch.column("digest"), pa.array(got, pa.int64()), batch.column("copies")], names=["digest", "n_tokens", "copies"])
 
-    return misses.select("digest", "text").mapInArrow(run, "digest binary, n_tokens bigint")
+    return misses.select("digest", "text", "copies").mapInArrow(run, "digest binary, n_tokens bigint, copies bigint")
 
 
 def read_cache(spark, cache_path: str, version: str) -> DataFrame | None:
@@ -156,8 +160,17 @@ def read_cache(spark, cache_path: str, version: str) -> DataFrame | None:
     where = jvm.org.apache.hadoop.fs.Path(f"{cache_path}/version={version}")
     if not where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(where):
         return None
-    stored = spark.read.schema("digest binary, n_tokens bigint").parquet(f"{cache_path}/version={version}")
-    return stored.groupBy("digest").agg(F.max("n_tokens").alias("n_tokens"))
+    stored = spark.read.schema("digest binary, n_tokens bigint, copies bigint").parquet(f"{cache_path}/version={version}")
+    return stored.groupBy("digest").agg(F.max("n_tokens").alias("n_tokens"), F.max("copies").alias("copies"))
+
+
+def _lacking(keyed: DataFrame, cache: DataFrame) -> DataFrame | None:
+    """The rows of keyed whose digests the cache lacks, found before any text moves; None where it has all."""
+    new = saved(keyed.select("digest").distinct().join(cache.select("digest"), "digest", "left_anti"), "new-digests")
+    count = new.count()
+    if not count:
+        return None
+    return keyed.join(F.broadcast(new) if count <= MOST_SENT else new, "digest", "left_semi")
 
 
 def count_tokens(docs: DataFrame, tokenizer_path: str, cache_path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -166,8 +179,10 @@ def count_tokens(docs: DataFrame, tokenizer_path: str, cache_path: str, id_col:
     version, collapse = tokenizer_version(tokenizer_path), drops_white_space(tokenizer_path)
     keyed = id_text(docs, id_col, text_col).withColumns({"n_bytes": F.octet_length(TEXT).cast("bigint"), "text": normalised(F.col(TEXT), collapse)})
     keyed = keyed.withColumn("digest", F.unhex(F.sha2("text", 256)))
-    misses = keyed.groupBy("digest").agg(F.first("text").alias("text"))
-    if (cache := read_cache(spark, cache_path, version)) is not None:
-        misses = misses.join(cache, "digest", "left_anti")
-    encode_misses(misses, tokenizer_path).write.mode("append").parquet(f"{cache_path}/version={version}")
-    return keyed.select(F.col(ID).alias(id_col), "n_bytes", "digest").join(read_cache(spark, cache_path, version), "digest", "left").drop("digest")
+    cache = read_cache(spark, cache_path, version)
+    new = keyed if cache is None else _lacking(keyed, cache)
+    if new is not None:
+        misses = new.groupBy("digest").agg(F.first("text").alias("text"), F.count("*").alias("copies"))
+        encode_misses(misses, tokenizer_path).write.mode("append").parquet(f"{cache_path}/version={version}")
+    rows = keyed.select(F.col(ID).alias(id_col), "n_bytes", "digest")
+    return spread_join(rows, read_cache(spark, cache_path, version), ["digest"], "n_tokens", "copies", F.xxhash64(id_col)).drop("digest")

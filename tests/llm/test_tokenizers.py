@@ -72,3 +72,20 @@ def test_random_texts():
     assert codec.chunked
     texts = ["".join(r.choice(["a", "the", " ", "  ", "\n", "▁", "é", "日", "'s", "\x00"]) for _ in range(r.randint(0, 12))) for _ in range(2000)]
     assert [x.tolist() for x in codec.encode(texts)] == model.encode(texts, add_bos=True, add_eos=True)
+
+
+def test_second_run_encodes_what_is_new(spark, documents, monkeypatch):
+    cache, rows = scratch_path(spark, "cache"), [(i, f"text number {i % 7}") for i in range(40)]
+    first = sorted(tuple(r) for r in token_counts.count_tokens(documents(rows), WORDS, cache).collect())
+    seen, encode = [], token_counts.encode_misses
+
+    def watched(misses, path):
+        seen.append(misses.count())
+        return encode(misses, path)
+
+    monkeypatch.setattr(token_counts, "encode_misses", watched)
+    assert sorted(tuple(r) for r in token_counts.count_tokens(documents(rows), WORDS, cache).collect()) == first and not seen
+    for sent in (token_counts.MOST_SENT, 0):
+        monkeypatch.setattr(token_counts, "MOST_SENT", sent)
+        more = token_counts.count_tokens(documents([*rows, (99, f"something new {sent}")]), WORDS, cache).collect()
+        assert seen.pop() == 1 and not seen and len(more) == 41
