@@ -4,7 +4,8 @@ Words are runs of ASCII letters, digits and non-ASCII characters, with A-Z lower
 a benchmark item; an item with fewer words, but some, is one window. The hashes of all windows, when at most
 `MOST_HASHES` (their number is counted first), go to the executors as one set inside the plan, and each document's windows
 are looked up in it where the document is read: no row is made for a window that misses, and nothing is shuffled but
-hits. A larger benchmark is joined by hash through a shuffle instead. Hits of either way are verified word by word.
+hits. A larger benchmark is joined through a shuffle instead, by 128-bit digests of the windows. Hits of the first way are
+verified by that digest, too, or word by word where documents go as a whole. A very long text is one row, read whole.
 
 A null text or item has no words. Repeated documents keep a row each; items with the same id are one item; null item ids are
 not listed. An empty benchmark hits nothing, an empty table of documents gives an empty result. Other columns are not read
@@ -41,8 +42,13 @@ def places(size: int, hashes: list[int]) -> Column:
     return F.filter(starts(F.col("w"), size), lambda i: F.xxhash64(F.slice("w", i, size)).isin(hashes))
 
 
+def digest(gram: Column) -> Column:
+    """Of a window's words, which hold no space."""
+    return F.unhex(F.md5(F.array_join(gram, " ").cast("binary")))
+
+
 def _placed(size: int):
-    return lambda i: F.struct((i - 1).alias("at"), F.slice("w", i, size).alias("gram"))
+    return lambda i: F.struct((i - 1).alias("at"), digest(F.slice("w", i, size)).alias("gram"))
 
 
 def _is_one_of(size: int, grams: list[str]):
@@ -73,11 +79,11 @@ def _with_hits(cut: DataFrame, benchmark: DataFrame, n: int, item_col: str, most
         hashes = [x[0] for x in windows.where(F.col("size") == size).select("hash").distinct().sort("hash").collect()] if in_plan else None
         at = places(size, hashes) if in_plan else starts(F.col("w"), size)
         found.append(F.transform(at, _placed(size)))
-    none = F.array().cast("array<struct<at:int,gram:array<string>>>")
+    none = F.array().cast("array<struct<at:int,gram:binary>>")
     cut = cut.select(ROW, *keep, F.size("w").cast("bigint").alias("n_words"), F.concat(none, *found).alias("c"))
     # documents without a candidate keep one row
     flat = cut.select(ROW, *keep, "n_words", F.explode_outer("c").alias("c")).select(ROW, *keep, "n_words", "c.at", "c.gram")
-    by_gram = windows.groupBy("gram").agg(F.first("size").alias("size"), F.sort_array(F.collect_set("item")).alias("items"))
+    by_gram = windows.groupBy(digest(F.col("gram")).alias("gram")).agg(F.first("size").alias("size"), F.sort_array(F.collect_set("item")).alias("items"))
     if in_plan:
         by_gram = F.broadcast(by_gram)  # at most MOST_HASHES windows, as counted
     hits = flat.join(by_gram, "gram", "left")

@@ -6,7 +6,7 @@ table that is summed, collected and broadcast has a fixed size. A document is po
 words' vectors, and the mean likeness of adjacent words. The network learns from a bounded sample of labelled rows
 (training.SAMPLE_ROWS), and a temperature fitted on rows kept apart calibrates its probabilities.
 
-Null and empty texts pool to zeros. Repeated rows keep a row each; null ids stay null; other columns are not read; an empty
+Null and empty texts pool to zeros; a very long text is one row, pooled whole. Repeated rows keep a row each; null ids stay null; other columns are not read; an empty
 table gives an empty result. Where no row is labelled, every score is 0.5.
 """
 

@@ -5,7 +5,7 @@ markers. A text is then cut into marked words; each worker keeps a table of dist
 when it first meets it, and joins the ids back by position. The table is bounded and emptied when full; results do not
 depend on it. Nothing is shuffled, so no hot word or hot document lands in one task.
 
-Null texts count as empty; empty texts have the begin and end ids alone. Repeated rows keep a row each, null ids stay
+Null texts count as empty; empty texts have the begin and end ids alone. A very long text is one row, encoded whole. Repeated rows keep a row each, null ids stay
 null, other columns are not read, and an empty table gives an empty result.
 """
 

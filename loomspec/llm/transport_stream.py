@@ -6,7 +6,9 @@ PID (repeated packets and announced discontinuities are not errors), reassembles
 each one's timestamps and whether it starts at a random-access point.
 
 `media_table` applies the parser to a column of streams. A null stream, an empty one, or one without a sync byte gives a
-stream without programs; trailing bytes that fill no packet are ignored.
+stream without programs; trailing bytes that fill no packet are ignored. `store_texts` takes null and empty texts as one padded
+unit; a very long text is one row and one stream, held whole by the task that writes it. Repeated rows keep a row each, with
+equal values for equal texts; null ids stay null; other columns are not read; an empty table gives an empty result.
 """
 
 from __future__ import annotations

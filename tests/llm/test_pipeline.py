@@ -70,3 +70,12 @@ def test_nulls(spark, small):
     for _, stage in corpus_pipeline.STAGES:
         docs = saved(stage(spark, docs, small), "test")
     assert docs.count() > 0
+
+
+def test_clashing_and_missing_columns(spark, small):
+    docs = table(spark, small, "documents").limit(30).drop("n_chars", "lang").withColumns({c: F.lit("kept") for c in ("__toxicity", "__gone", "__lines_row", "score", "key", "hit", "whole", "component_id")})
+    for name, stage in corpus_pipeline.STAGES:
+        after = saved(stage(spark, docs, small), "test")
+        if name != "encoding":
+            assert after.columns == docs.columns and {r["__gone"] for r in after.collect()} <= {"kept"}
+        docs = after
