@@ -2,7 +2,9 @@
 copies stays, documents that hold benchmark passages go, and what is left is encoded.
 
 Each stage takes (spark, docs, sf_dir) and works on all rows of docs; `run` writes each stage's rows as Parquet in the shared
-folder and reads them again as the next one's docs.
+folder and reads them again as the next one's docs. Null texts score as empty ones, lose no lines, are linked with nothing,
+hold no passage and encode as empty; very long texts are rows as any other; rows without an id are judged by their text
+and stay in the near-copy stage; repeated rows share their fate; other columns are carried along; an empty table stays empty.
 """
 
 from __future__ import annotations
@@ -13,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomspec.llm import decontamination, line_dedup, near_dedup, sentence_pieces, toxicity
-from loomspec.llm.common import saved, table
+from loomspec.llm.common import saved, table, unused
 from loomspec.llm.queries import TOXIC_AT, tokenizer_file
 
 #: Near copies share this many per cent of their shingles of so many words.
@@ -23,13 +25,16 @@ SHINGLE, PERCENT = 5, 80
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Without the documents that score as toxic; rows without an id are scored, too."""
     model = toxicity.train(docs, table(spark, sf_dir, "labels"), lambda crc: crc % 3 != 1)
-    return toxicity.score_column(docs, model, "__toxicity").where(F.col("__toxicity") < TOXIC_AT).select(*docs.columns)
+    name = unused("__toxicity", docs.columns)
+    return toxicity.score_column(docs, model, name).where(F.col(name) < TOXIC_AT).select(*docs.columns)
 
 
 def drop_boilerplate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, less their boilerplate lines; n_chars follows the text."""
+    """All documents, less their boilerplate lines; n_chars, where there is one, follows the text."""
     out = line_dedup.remove_boilerplate(docs)
-    return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)).select(*docs.columns)
+    if "n_chars" in docs.columns:
+        out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
+    return out.select(*docs.columns)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
