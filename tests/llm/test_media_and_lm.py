@@ -101,6 +101,12 @@ def test_probabilities_sum_to_one(documents, prose):
             assert abs(x + 10 ** model.emission(k - class_lm.CLASSES, 0) - 1) < 1e-9
 
 
+def test_shapes_in_columns(spark, odd_rows):
+    words = [w for _, t in odd_rows for w in (t or "").encode().split()][:200] + [x.encode() for x in ("a.", "b!", "c,", "d;", "12", "é", "é.", "longer-word", "日本", "x)", "\x00", "end…", "a" * 30, "½")] + [class_lm.END]
+    got = spark.createDataFrame([(w,) for w in words], "word binary").select(class_lm.shape_column(F.col("word"))).collect()
+    assert [r[0] for r in got] == [class_lm.shape(w) for w in words]
+
+
 def test_without_training_rows(documents):
     docs = documents([(1, "a b"), (2, None)])
     model, counts = class_lm.train(docs, lambda crc: crc < 0)
