@@ -79,31 +79,30 @@ def pivot_join(left: DataFrame, right: DataFrame, alias: str, keys: Keys, value:
 def alternative_path_join(left: DataFrame, right: DataFrame, alias: str, paths: Sequence[Keys], how: str = "left", where: str | None = None) -> DataFrame:
     """A row matches by any of several key pairs, the first that matches wins, then the first row by all columns.
 
-    Each path is an equi-join of the distinct left keys; an OR of them would compare all pairs.
+    The first row of each key of a path is chosen by an aggregation, before it joins: a join adds no row, however many rows
+    share a key. An OR of the paths would compare all pairs.
     """
     if where:
         right = right.where(F.expr(where))
-    used = list(dict.fromkeys(l for path in paths for l, _ in path))
-    bases = left.select(*(F.expr(x).alias(f"__b{i}") for i, x in enumerate(used))).distinct()
-    found = None
+    row = F.struct(*(F.col(f"`{c}`").alias(c) for c in right.columns))
+    # by all columns, NULLs last
+    rank = F.struct(*(x.alias(f"o{i}{j}") for i, c in enumerate(orderable(right)) for j, x in enumerate((F.col(f"`{c}`").isNull(), F.col(f"`{c}`")))))
+    out, found = left, []
     for p, path in enumerate(paths):
-        other = prefixed(right, alias, [r for _, r in path])
+        names = [f"__k{p}_{i}" for i in range(len(path))]
+        keyed = right.select(*(F.expr(r).alias(n) for n, (_, r) in zip(names, path, strict=True)), row.alias("__row"), rank.alias("__rank")).dropna(subset=names)
+        first = keyed.groupBy(*names).agg(F.min_by("__row", "__rank").alias(f"__row{p}"))
         on = None
-        for i, (l, _) in enumerate(path):
-            one = bases[f"__b{used.index(l)}"] == other[f"__k{i}"]
+        for n, (l, _) in zip(names, path, strict=True):
+            one = F.expr(l) == F.col(n)
             on = one if on is None else on & one
-        hit = bases.join(other, on).drop(*(f"__k{i}" for i in range(len(path)))).withColumn("__path", F.lit(p))
-        found = hit if found is None else found.unionByName(hit)
-    names = [f"__b{i}" for i in range(len(used))]
-    columns = [f"{alias}__{c}" for c in right.columns]
-    ties = [f"{alias}__{c}" for c in orderable(right)]
-    w = Window.partitionBy(*names).orderBy("__path", *(F.col(f"`{c}`").asc_nulls_last() for c in ties))
-    one = found.withColumn("__rn", F.row_number().over(w)).where("__rn = 1").select(*names, *columns)
-    on = None
-    for i, x in enumerate(used):
-        each = F.expr(x).eqNullSafe(F.col(f"__b{i}"))
-        on = each if on is None else on & each
-    return left.join(one, on, how).drop(*names)
+        if on is None:
+            raise SpecError("a path needs keys")
+        out = out.join(first, on, "left").drop(*names)
+        found.append(f"__row{p}")
+    if how.replace("_", "").lower() in ("inner", "right", "rightouter"):
+        out = out.where(F.coalesce(*found).isNotNull())
+    return out.select("*", *(F.coalesce(*found)[c].alias(f"{alias}__{c}") for c in right.columns)).drop(*found)
 
 
 def aggregate_join(left: DataFrame, right: DataFrame, alias: str, keys: Keys, aggregates: dict[str, str], where: str | None = None, lookup: DataFrame | None = None, via: tuple[str, str, str] | None = None) -> DataFrame:

@@ -20,6 +20,25 @@ def test_or_join_plans_no_nested_loop(spark):
     assert "BroadcastNestedLoopJoin" not in plan and "CartesianProduct" not in plan
 
 
+def test_alternative_paths_choose_before_they_join(spark, rows):
+    """900 x 900 rows of one key: no operator makes more rows than there are on the left."""
+    left = spark.range(900).selectExpr("id AS x", "1 AS y")
+    right = spark.range(900).selectExpr("id + 890 AS p", "1 AS q", "CASE WHEN id > 1 THEN 5 - id END AS v").repartition(4)
+    out = R.alternative_path_join(left, right, "b", ((("x", "p"),), (("y", "q"),)))
+    assert rows(out.where("x > 887")) == sorted([(x, 1, max(x, 890), 1, None if x < 892 else 895 - x) for x in range(888, 900)], key=repr)
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert "Window" not in plan and plan.index("Aggregate") > plan.index("Join")  # aggregates feed the joins
+
+
+def test_alternative_paths_take_nulls_last(spark, rows):
+    left = spark.createDataFrame([(1, 7), (None, 7), (2, None), (None, None), (1, 7)], "x int, y int")
+    right = spark.createDataFrame([(1, 9, None), (1, 9, 4.0), (5, 7, 2.0), (None, 7, None), (None, None, 1.0)], "p int, q int, v double")
+    paths = ((("x", "p"),), (("y", "q"),))
+    found = [(1, 7, 1, 9, 4.0)] * 2 + [(None, 7, 5, 7, 2.0)]
+    assert rows(R.alternative_path_join(left, right, "b", paths)) == sorted([*found, (2, None, None, None, None), (None, None, None, None, None)], key=repr)
+    assert rows(R.alternative_path_join(left, right, "b", paths, "inner")) == sorted(found, key=repr)
+
+
 def test_filters_and_columns_reach_the_scan(spark, small):
     target = TableDefinition("t", (c("k", Candidate("orders", "o_orderkey")),), metadata=Metadata("orders", base_filter="o_orderstatus = 'F'"))
     plan = compile_table(spark, target, {"orders": spark.read.parquet(f"{small}/orders.parquet")})._jdf.queryExecution().executedPlan().toString()
