@@ -133,35 +133,42 @@ def sample_values(df: DataFrame, column: str, n: int = 10) -> DataFrame:
     return df.where(x.isNotNull()).select(x.alias("value")).distinct().orderBy(F.md5("value"), "value").limit(n)
 
 
-def key_candidates(df: DataFrame, width: int = 3, most: int = 12) -> DataFrame:
+def key_candidates(df: DataFrame, width: int = 3, most: int = 12, sets: list[tuple[str, ...]] | None = None) -> DataFrame:
     """(columns, distinct_count, unique) of column sets that may be keys, the best first; only minimal ones are marked unique.
 
-    Complete columns are ranked by their share of distinct values. Sketches tell how many distinct values each set has, in one
-    aggregation; only sets that may be unique by that are counted exactly, and only until a smaller set of them is.
+    Without given sets, complete columns are ranked by their share of distinct values, which sketches tell, and the sets of the
+    best of them are taken. The counts are exact: a set that holds a smaller one that is unique has as many values as rows;
+    all others are counted, in one job for each width. NULL is no value of a column, but is one within a combination.
     """
-    stats = [r for r in completeness(df).collect() if r["n"] and r["non_null"] == r["n"]]
-    kinds = {f.name: f.dataType for f in df.schema.fields}
-    ratio = {r["column"]: r["distinct_count"] / r["n"] for r in stats if not isinstance(kinds[r["column"]], T.ArrayType | T.MapType | T.StructType)}
-    ranked = sorted(ratio, key=lambda c: (-ratio[c], df.columns.index(c)))[:8]
-    sets = [s for w in range(1, width + 1) for s in combinations(ranked, w)]
-    sets.sort(key=lambda s: (-(min(1.0, sum(ratio[c] for c in s)) - 0.05 * (len(s) - 1)), len(s), s))
-    sets = sets[:most]
+    if sets is None:
+        stats = [r for r in completeness(df).collect() if r["n"] and r["non_null"] == r["n"]]
+        kinds = {f.name: f.dataType for f in df.schema.fields}
+        ratio = {r["column"]: r["distinct_count"] / r["n"] for r in stats if not isinstance(kinds[r["column"]], T.ArrayType | T.MapType | T.StructType)}
+        ranked = sorted(ratio, key=lambda c: (-ratio[c], df.columns.index(c)))[:8]
+        sets = [s for w in range(1, width + 1) for s in combinations(ranked, w)]
+        sets.sort(key=lambda s: (-(min(1.0, sum(ratio[c] for c in s)) - 0.05 * (len(s) - 1)), len(s), s))
+        sets = sets[:most]
     if not sets:
         return df.sparkSession.createDataFrame([], "columns string, distinct_count bigint, unique boolean")
-    got = df.agg(F.count("*").alias("n"), *(_distinct(*(F.col(f"`{c}`") for c in s)).alias(f"k{i}") for i, s in enumerate(sets))).first()
+    total = df.count()
     unique: list[tuple] = []
     rows = []
-    for w in range(1, width + 1):  # one job for each width
-        about = {s: got[f"k{i}"] for i, s in enumerate(sets) if len(s) == w}
-        above = {s for s in about if any(set(u) < set(s) for u in unique)}  # holds a key, so it is one, but not a minimal one
-        near = [s for s, n in about.items() if n >= 0.9 * got["n"] and s not in above]
-        counts = [df.select(*(F.col(f"`{c}`") for c in s)).distinct().agg(F.lit(i).alias("i"), F.count("*").alias("n")) for i, s in enumerate(near)]
-        exact = {near[r["i"]]: r["n"] for r in reduce(DataFrame.unionAll, counts).collect()} if near else {}
-        unique += [s for s, n in exact.items() if n == got["n"]]
-        rows += [(",".join(s), got["n"] if s in above else exact.get(s, n), s in unique) for s, n in about.items()]
+    for w in sorted({len(s) for s in sets}):
+        of_width = [s for s in sets if len(s) == w]
+        above = {s for s in of_width if any(set(u) < set(s) for u in unique)}  # holds a key, so it is one, but not a minimal one
+        asked = [s for s in of_width if s not in above]
+        counts = [_combinations(df, s).agg(F.lit(i).alias("i"), F.count("*").alias("n")) for i, s in enumerate(asked)]
+        exact = {asked[r["i"]]: r["n"] for r in reduce(DataFrame.unionAll, counts).collect()} if asked else {}
+        unique += [s for s, n in exact.items() if n == total]
+        rows += [(",".join(s), exact.get(s, total), s in unique) for s in of_width]
     return df.sparkSession.createDataFrame(rows, "columns string, distinct_count bigint, unique boolean")
 
 
+def _combinations(df: DataFrame, columns: tuple[str, ...]) -> DataFrame:
+    out = df.select(*(F.col(f"`{c}`") for c in columns)).distinct()
+    return out.dropna() if len(columns) == 1 else out
+
+
 def promoted_key(candidates: list[tuple[tuple[str, ...], float]], least: float = 0.9, gap: float = 0.05) -> tuple[str, ...] | None:
     """The best candidate, if its score is high enough and far enough above the next."""
     ranked = sorted(candidates, key=lambda c: (-c[1], len(c[0]), c[0]))

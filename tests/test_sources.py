@@ -93,6 +93,15 @@ def test_key_candidates(spark):
     assert profile.promoted_key([(("c",), 1.0), (("a", "b"), 0.8)]) == ("c",) and profile.promoted_key([(("a",), 0.5)]) is None
 
 
+def test_key_candidates_count_exactly(spark):
+    """Sets far from unique and larger than a sketch holds exactly."""
+    df = spark.range(60000).selectExpr("id % 20000 AS a", "id % 30011 AS b", "CASE WHEN id % 3 > 0 THEN id END AS c")
+    got = {r["columns"]: (r["distinct_count"], r["unique"]) for r in profile.key_candidates(df).collect()}
+    assert got["a"] == (20000, False) and got["b"] == (30011, False)
+    got = {r["columns"]: (r["distinct_count"], r["unique"]) for r in profile.key_candidates(df, sets=[("c",), ("a", "c"), ("a", "b"), ("a", "b", "c")]).collect()}
+    assert got == {"c": (40000, False), "a,c": (60000, True), "a,b": (60000, True), "a,b,c": (60000, False)}
+
+
 def test_domains(spark):
     df = spark.createDataFrame([("a@b.co",), ("x@y.org",), (None,)], "email_address string")
     assert domains.infer(df, "email_address")[0] == "email" and domains.infer(None, "zzz")[0] == "unmapped"
