@@ -3,7 +3,7 @@ import random
 import numpy as np
 from pyspark.sql import functions as F
 
-from loomspec.llm import near_dedup, passages
+from loomspec.llm import graph, near_dedup, passages
 from loomspec.llm.graph import components, relabelled
 
 
@@ -139,6 +139,38 @@ def test_chain_component(spark):
     assert {got[i] for i in range(61)} == {0} and got[101] == 100
 
 
+def test_components_across_tasks(spark, monkeypatch):
+    """More edges than a task joins at once: chains, hubs, loops and repeats against brute force."""
+    monkeypatch.setattr(graph, "AT_ONCE", 40)
+    r = random.Random(3)
+    pairs = [(i, i + 1) for i in range(150)] + [(5000, 4000 + i) for i in range(150)] + [(3000, 6000 + i) for i in range(100)] + [(r.randrange(10**6, 10**6 + 300), r.randrange(10**6, 10**6 + 300)) for _ in range(140)]
+    least: dict[int, int] = {}
+
+    def root(x):
+        while least.setdefault(x, x) != x:
+            x = least[x]
+        return x
+
+    for a, b in pairs:
+        if a != b:
+            a, b = sorted((root(a), root(b)))
+            least[b] = a
+    r.shuffle(pairs)
+    got = components(spark.createDataFrame(pairs + pairs[:50], "a bigint, b bigint").repartition(7)).collect()
+    assert len(got) == len({x["node"] for x in got}) and {x["node"]: x["component"] for x in got} == {x: root(x) for x in least}
+
+
+def test_labels_are_not_multiplied(spark):
+    """No row is copied for each task that might ask for it, and what is small is settled in one look at its edges."""
+    seen = []
+    kept, graph.saved = graph.saved, lambda df, name: seen.append((name, df._jdf.queryExecution().optimizedPlan().toString())) or kept(df, name)
+    try:
+        components(spark.createDataFrame([(i, i + 1) for i in range(100)], "a bigint, b bigint")).collect()
+    finally:
+        graph.saved = kept
+    assert [name for name, _ in seen] == ["edges", "labels"] and not any("Generate" in plan for _, plan in seen)
+
+
 def test_more_edges_between_components(spark):
     labels = components(spark.createDataFrame([(1, 2), (3, 4), (3, 5), (8, 9)], "a bigint, b bigint"))
     got = {r["node"]: r["component"] for r in relabelled(labels, spark.createDataFrame([(5, 2), (4, 3), (20, 21), (9, 30)], "a bigint, b bigint")).collect()}
