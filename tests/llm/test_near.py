@@ -222,6 +222,29 @@ def test_very_frequent_key_in_several_rounds(documents, prose, monkeypatch):
     assert {r["component_id"] for r in got} == {0} and len({r["doc_id"] for r in got}) == 150
 
 
+def test_windows_of_a_frequent_key_lose_no_link(monkeypatch, spark):
+    """Far more kinds of surroundings than are linked at a time: the links are those of one look at all windows."""
+    rng = np.random.default_rng(4)
+    n, low, high = 6000, sum(passages.NEAR_BITS), 1 << 32
+    around = rng.integers(0, high, n, dtype=np.uint64) << np.uint64(low) | rng.integers(0, high, n, dtype=np.uint64)
+    # each has a partner with the same surroundings on one side, thousands of windows later
+    around[n // 2 :] = around[: n // 2] & np.uint64((high - 1) << 32) | rng.integers(0, high, n // 2, dtype=np.uint64)
+    key = np.where(np.arange(n) < 40, 8, np.where(np.arange(n) < n - 30, 16, 24)) + 0
+    doc, place = np.arange(n), rng.integers(0, 1 << 40, n)
+    rows = [(int(k), int(d), int(p), int(x), None, None) for k, d, p, x in zip(key, doc, place, around.view(np.int64))]
+    frame = spark.createDataFrame(rows, ", ".join(f"{x} bigint" for x in passages._NAMES)).coalesce(1)
+    monkeypatch.setattr(passages, "AT_ONCE", 200)
+    batch = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    spark.conf.set(batch, "90")
+    try:
+        got = {tuple(r) for r in passages.links(frame).collect()}
+    finally:
+        spark.conf.unset(batch)
+    i, j = passages._linked(key, doc, around.view(np.int64))
+    want = {(int(key[a]), int(doc[a]), int(place[a]), int(doc[b]), int(place[b])) for a, b in zip(i, j)}
+    assert got == want and len({x[1] for x in want}) >= n // 2 - 100
+
+
 def test_recall_of_changed_passages(documents, prose):
     """Passages of 60 to 120 words, every 30th word or so changed: nearly all pairs are found."""
     r, rows = random.Random(5), []
