@@ -34,7 +34,9 @@ EPOCHS = 12
 PARTS = 8
 #: How much more a toxic text weighs than a clean one, and how much slower factors learn than weights.
 RARE_WEIGHT, FACTOR_STEP = 1.5, 0.1
-MEMO_ENTRIES = 400_000
+MEMO_ENTRIES = 200_000
+#: Texts whose terms a worker holds at a time.
+AT_ONCE = 500
 WORDS = re.compile(r"\w+").findall
 
 
@@ -48,13 +50,20 @@ def buckets(word: str) -> tuple[int, ...]:
     return tuple({zlib.crc32(x.encode()) & (BUCKETS - 1) for x in terms})
 
 
+def _pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The batches in pieces, so that the terms of few texts are held at a time."""
+    for batch in batches:
+        for first in range(0, batch.num_rows, AT_ONCE):
+            yield batch.slice(first, AT_ONCE)
+
+
 def distinct_buckets(texts: DataFrame) -> DataFrame:
     """(label, key, terms): the distinct buckets of each text, in order, and a digest of them."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memo = bounded_memo(MEMO_ENTRIES)
         memo.make = buckets
-        for batch in batches:
+        for batch in _pieces(batches):
             terms = [np.array(sorted(set().union(*map(memo.__getitem__, set(WORDS(x.lower()))))), np.int32) for x in batch.column(TEXT).to_pylist()]
             keys = pa.array([xxhash.xxh3_64_intdigest(x.tobytes()) >> 1 for x in terms], pa.int64())
             yield pa.RecordBatch.from_arrays([batch.column("label"), keys, pa.array(terms, pa.list_(pa.int32()))], names=["label", "key", "terms"])
@@ -152,32 +161,36 @@ def train(docs: DataFrame, labels: DataFrame, learn_from, label_col: str = "toxi
 
 def score(docs: DataFrame, model: FactorizationMachine, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per input row: id_col and score in 0 to 1."""
-    return _scored(id_text(docs, id_col, text_col).select(ID, TEXT), ID, model).withColumnRenamed(ID, id_col)
+    return _scored(id_text(docs, id_col, text_col).select(ID, TEXT), 1, model).select(F.col("c0").alias(id_col), "score")
 
 
 def score_column(docs: DataFrame, model: FactorizationMachine, out_col: str, text_col: str = "text") -> DataFrame:
     """docs, all its rows and columns, with the score of each."""
     ship(docs.sparkSession)
-    text = F.coalesce(docs[text_col].cast("string"), F.lit(""))
-    return _scored(docs.select(F.struct(*(docs[c] for c in docs.columns)).alias("whole"), text.alias(TEXT)), "whole", model).select(*(F.col("whole")[c].alias(c) for c in docs.columns), F.col("score").alias(out_col))
+    place = [c.lower() for c in docs.columns].index(text_col.lower())
+    rows = docs.toDF(*(f"c{i}" for i in range(len(docs.columns))))
+    text = [] if isinstance(docs.schema[place].dataType, T.StringType) else [F.col(f"c{place}").cast("string")]  # no text goes twice
+    scored = _scored(rows.select("*", *text), len(docs.columns) if text else place, model)
+    return scored.select(*(F.col(f"c{i}").alias(c) for i, c in enumerate(docs.columns)), F.col("score").alias(out_col))
 
 
-def _scored(texts: DataFrame, carry: str, model: FactorizationMachine) -> DataFrame:
-    """(carry, score)."""
+def _scored(rows: DataFrame, text: int, model: FactorizationMachine) -> DataFrame:
+    """The columns of rows as c0, c1, ... and the score of the one at the given place; a null text counts as empty."""
     terms, bias, weights, factors = model.terms, model.bias, model.weights, model.factors
-    shared = texts.sparkSession.sparkContext.broadcast((terms, bias, weights, factors))  # FACTORS + 2 numbers for each term of the bounded sample
+    shared = rows.sparkSession.sparkContext.broadcast((terms, bias, weights, factors))  # FACTORS + 2 numbers for each term of the bounded sample
+    rows = rows.toDF(*(f"c{i}" for i in range(len(rows.columns))))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         machine = FactorizationMachine(*shared.value)
         memo = bounded_memo(MEMO_ENTRIES)
         place = machine.place
         memo.make = lambda word: tuple(place[b] for b in buckets(word) if b in place)
-        for batch in batches:
+        for batch in _pieces(batches):
             found = []
-            for text in batch.column(TEXT).to_pylist():
-                found.append(sorted(set().union(*map(memo.__getitem__, set(WORDS(text.lower()))))))
+            for x in batch.column(text).to_pylist():
+                found.append(sorted(set().union(*map(memo.__getitem__, set(WORDS((x or "").lower()))))))
             offsets = np.concatenate([[0], np.cumsum([len(x) for x in found], dtype=np.int64)])
             index = np.fromiter((i for x in found for i in x), np.int64, offsets[-1])
-            yield pa.RecordBatch.from_arrays([batch.column(carry), pa.array(sigmoid(machine.raw(index, offsets)))], names=[carry, "score"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(sigmoid(machine.raw(index, offsets)))], names=[*batch.schema.names, "score"])
 
-    return texts.mapInArrow(run, T.StructType([texts.schema[carry], T.StructField("score", T.DoubleType())]))
+    return rows.mapInArrow(run, T.StructType([*rows.schema.fields, T.StructField("score", T.DoubleType())]))

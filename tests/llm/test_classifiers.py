@@ -1,6 +1,7 @@
 import random
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from loomspec.llm import quality, toxicity
@@ -39,6 +40,21 @@ def test_fast_form_equals_all_pairs():
     assert np.allclose(m.raw(index, offsets), slow)
 
 
+def test_scores_of_few_texts_at_a_time(spark, documents, monkeypatch):
+    """A batch of many texts is scored in bounded pieces, the text goes to the worker once, and no score depends on either."""
+    model = toxicity.FactorizationMachine(np.arange(1 << 10), 0.1, np.linspace(-1, 1, 1 << 10), np.full((1 << 10, 2), 0.01))
+    monkeypatch.setattr(toxicity, "BUCKETS", 1 << 10)
+    rows = [(i, f"word{i} other {i % 7}" if i % 9 else None) for i in range(40)]
+    docs = documents(rows, 1).withColumn("Whole", F.lit(1))
+    want = {r["doc_id"]: r["score"] for r in toxicity.score(docs, model).collect()}
+    monkeypatch.setattr(toxicity, "AT_ONCE", 7)
+    got = toxicity.score_column(docs, model, "s")
+    assert {r["doc_id"]: r["s"] for r in got.collect()} == want and len(want) == 40
+    assert got.drop("s").schema == docs.schema and "struct" not in got._jdf.queryExecution().optimizedPlan().toString().lower()
+    pieces = list(toxicity._pieces(iter([pa.RecordBatch.from_pydict({"x": list(range(20))})])))
+    assert [p.num_rows for p in pieces] == [7, 7, 6]
+
+
 def test_no_labels_and_extra_columns(spark, documents):
     docs = documents([(1, "a b"), (2, None)]).withColumn("score", F.lit("x")).withColumn("label", F.lit(1))
     none = spark.createDataFrame([], "doc_id bigint, toxic int, quality int")
