@@ -7,7 +7,7 @@ class that raises the likelihood of the adjacent-unit counts most, until a sweep
 other word that occurs `LEARNT` times or more then joins the class whose neighbours are likest its own, from the counts of the classes next to it, which are
 summed by word across the cluster. Rarer words, and words that were never seen, belong to a class by their shape. Then log
 P(word | previous) = log P(class | class of the previous) + log P(word | class): transitions are interpolated with the
-classes' own frequencies, and counted with the classes of the head (below), other words by their shape; emissions are additively
+classes' own frequencies, and counted with the classes of all words; emissions are additively
 smoothed in the shape classes, where unseen words share one more place.
 
 Scoring reads each text once. The `HEAD` most frequent words and their classes go to the workers (a fixed bound); all other
@@ -38,7 +38,7 @@ CLUSTERED, CLASSES, LEARNT = 1000, 48, 5
 #: The log likelihood for each token below which a sweep's gain ends the exchange.
 SETTLED = 1e-4
 HEAD = 1 << 17
-#: Bits of the filter of words that are learnt, and of a part of it (fixed by the function that makes it).
+#: Bits of the filters of words that are learnt, and of a part of it (fixed by the function that makes it).
 LEARNT_BITS, PART_BITS = 1 << 24, 32768
 #: Additive smoothing within a shape class; weight of a class' own frequency in a transition.
 ADD, BACK_OFF = 0.5, 20.0
@@ -167,10 +167,10 @@ class ClassModel:
         return float(np.log10((n + ADD) / (self.shape_totals[s] + ADD * (self.shape_types[s] + 1))))
 
 
-def learnt_bits(counts: DataFrame) -> np.ndarray:
-    """LEARNT_BITS bits: those that the words which occur LEARNT times or more hash to. A word without its bit need not be looked at."""
+def word_bits(words: DataFrame) -> np.ndarray:
+    """LEARNT_BITS bits: those that the given words hash to. A word without its bit need not be looked at."""
     number = (F.crc32("word") % LEARNT_BITS + 1).alias("bit")  # parts and their bits are counted from 1
-    parts = counts.where(F.col("n") >= LEARNT).select(number).groupBy(F.bitmap_bucket_number("bit").alias("part")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("bit")).alias("bits"))
+    parts = words.select(number).groupBy(F.bitmap_bucket_number("bit").alias("part")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("bit")).alias("bits"))
     out = np.zeros(LEARNT_BITS, bool)
     for part, bits in parts.collect():  # LEARNT_BITS / PART_BITS rows of 4 KB at most
         out[(part - 1) * PART_BITS :][:PART_BITS] = np.unpackbits(np.frombuffer(bits, np.uint8), bitorder="little")
@@ -264,13 +264,34 @@ def assigned(counts: DataFrame, near: DataFrame, of: np.ndarray, pairs: np.ndarr
     return often.unionByName(counts.where(F.col("n") < least).select("word", "n", (shape_column(F.col("word")) + CLASSES).alias("class")))
 
 
-def class_pairs(texts: DataFrame, shared) -> DataFrame:
-    """(pair, n): how often class a comes before class b, as a * WIDTH + b; words that are not in the head count by their shape."""
+def class_pairs(texts: DataFrame, shared, tail: DataFrame | None) -> DataFrame:
+    """(pair, n): how often class a comes before class b, as a * WIDTH + b. shared has the classes of the head, tail, (word, class),
+    those of learnt words beyond it, which meet their places in joins; all other words count by their shape."""
+    spark = texts.sparkSession
+    bits = spark.sparkContext.broadcast(word_bits(tail) if tail is not None else None)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        of = shared.value
+        of, open_words = shared.value, []
+        may_be = None if bits.value is None else np.unpackbits(bits.value)
         memo, end = bounded_memo(MEMO_ENTRIES), of.get(END, CLASSES + shape(END))
-        memo.make = lambda w: of[w] if w in of else CLASSES + shape(w)
+
+        def make(word: bytes) -> int:
+            """The class, or WIDTH and more for words that may be in the tail."""
+            if word in of:
+                return of[word]
+            if may_be is None or not may_be[zlib.crc32(word) % LEARNT_BITS]:
+                return CLASSES + shape(word)
+            open_words.append(word)
+            return WIDTH + len(open_words) - 1
+
+        memo.make = make
+
+        def rows(a: np.ndarray, b: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
+            columns = []
+            for x in (a, b):
+                columns += [pa.array(x, pa.int32(), mask=x >= WIDTH), pa.array([open_words[k - WIDTH] if k >= WIDTH else None for k in x.tolist()], pa.binary())]
+            return pa.RecordBatch.from_arrays([*columns, pa.array(n, pa.int64())], names=["a", "a_word", "b", "b_word", "n"])
+
         sums = np.zeros(WIDTH * WIDTH, np.int64)
         for batch in batches:
             held = []
@@ -279,11 +300,32 @@ def class_pairs(texts: DataFrame, shared) -> DataFrame:
                 held.append(np.fromiter(map(memo.__getitem__, words), np.int64, len(words)))
             if held:
                 ids = np.concatenate([[end], *held])
-                sums += np.bincount(ids[:-1] * WIDTH + ids[1:], minlength=WIDTH * WIDTH)
+                a, b = ids[:-1], ids[1:]
+                known = (a < WIDTH) & (b < WIDTH)
+                sums += np.bincount(a[known] * WIDTH + b[known], minlength=WIDTH * WIDTH)
+                if len(open_words):
+                    width = WIDTH + len(open_words)
+                    keys, n = np.unique(a[~known] * width + b[~known], return_counts=True)
+                    yield rows(keys // width, keys % width, n)
+            if len(open_words) > MEMO_ENTRIES:
+                memo.clear()
+                open_words.clear()
         used = np.flatnonzero(sums)
-        yield pa.RecordBatch.from_arrays([pa.array(used, pa.int64()), pa.array(sums[used], pa.int64())], names=["pair", "n"])
-
-    return texts.select("data").mapInArrow(run, "pair bigint, n bigint").groupBy("pair").agg(F.sum("n").alias("n"))
+        yield rows(used // WIDTH, used % WIDTH, sums[used])
+
+    found = texts.select("data").mapInArrow(run, "a int, a_word binary, b int, b_word binary, n bigint")
+    if tail is not None:
+        found = saved(found, "class-pairs")
+        both_known = F.col("a").isNotNull() & F.col("b").isNotNull()
+        known, found = found.where(both_known), found.where(~both_known)
+        for x, other in (("a", "b"), ("b", "a")):
+            # a place whose class is known goes anywhere: no word has a space
+            key = F.coalesce(f"{x}_word", F.concat(F.encode(F.lit(" "), "UTF-8"), F.coalesce(f"{other}_word", F.encode(F.lit(""), "UTF-8"))))
+            classes = tail.select(F.col("word").alias("key"), F.col("class").alias("of"))
+            joined = found.withColumn("key", key).join(classes, "key", "left")
+            found = joined.withColumn(x, F.coalesce(x, "of", shape_column(F.col(f"{x}_word")) + CLASSES)).drop("key", "of")
+        found = known.unionByName(found)
+    return found.groupBy((F.col("a").cast("bigint") * WIDTH + F.col("b")).alias("pair")).agg(F.sum("n").alias("n"))
 
 
 def train(docs: DataFrame, learn_from, id_col: str = "doc_id", text_col: str = "text") -> tuple[ClassModel, DataFrame]:
@@ -295,7 +337,7 @@ def train(docs: DataFrame, learn_from, id_col: str = "doc_id", text_col: str = "
     total, distinct = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
     first = counts.orderBy(F.desc("n"), "word").limit(CLUSTERED).collect()
     top, least = [bytes(x["word"]) for x in first], min((x["n"] for x in first), default=0)
-    near = saved(neighbours(texts, send({w: i for i, w in enumerate(top)}), send(learnt_bits(counts))), "neighbours")
+    near = saved(neighbours(texts, send({w: i for i, w in enumerate(top)}), send(word_bits(counts.where(F.col("n") >= LEARNT)))), "neighbours")
     each = near.where("word IS NULL").select(F.explode(F.arrays_zip("at", "n")).alias("x")).groupBy("x.at").agg(F.sum("x.n").alias("n"))
     found = each.toPandas()  # UNITS ** 2 rows at most
     pairs = np.zeros(UNITS * UNITS)
@@ -310,8 +352,13 @@ def train(docs: DataFrame, learn_from, id_col: str = "doc_id", text_col: str = "
     for c, n, m in classes.groupBy("class").agg(F.sum("n"), F.count("*")).collect():  # WIDTH rows at most
         totals[c], types[c] = n, m
     model = ClassModel(total, distinct, totals, types)
-    model.learn_words([(bytes(x["word"]), x["n"], x["class"]) for x in classes.orderBy(F.desc("n"), "word").limit(HEAD).toLocalIterator()])  # HEAD rows at most
-    seen = class_pairs(texts, send({w: x[0] for w, x in model.words.items()})).toPandas()  # WIDTH ** 2 rows at most
+    head = [(bytes(x["word"]), x["n"], x["class"]) for x in classes.orderBy(F.desc("n"), "word").limit(HEAD).toLocalIterator()]  # HEAD rows at most
+    model.learn_words(head)
+    tail = None
+    if distinct > HEAD:
+        word, n, _ = head[-1]
+        tail = classes.where((F.col("class") < CLASSES) & ((F.col("n") < n) | (F.col("n") == n) & (F.col("word") > F.lit(word)))).select("word", "class")
+    seen = class_pairs(texts, send({w: x[0] for w, x in model.words.items()}), tail).toPandas()  # WIDTH ** 2 rows at most
     sums = np.zeros(WIDTH * WIDTH)
     sums[seen["pair"].to_numpy(np.int64)] = seen["n"].to_numpy(float)
     model.learn_transitions(sums.reshape(WIDTH, WIDTH))

@@ -130,3 +130,22 @@ def test_words_beyond_the_clustered_take_a_learnt_class(documents, monkeypatch):
     path = [of[" end"], *(of[w] for w in words), of[" end"]]
     want = sum(model.transition[a, b] for a, b in zip(path, path[1:])) + sum(math.log10(n[w] / model.totals[of[w]]) for w in [*words, " end"])
     assert got["n_known"] == 5 and abs(got["score"] - want) < 1e-9
+
+
+def test_transitions_count_the_classes_of_all_words(documents, monkeypatch):
+    """Also of those that are learnt beyond the head: the counts of brute force."""
+    monkeypatch.setattr(class_lm, "HEAD", 1100)
+    r = random.Random(6)
+    kinds = [[f"{k}x{i:04d}" for i in range(700)] for k in "ab"]
+    rows = [(i, " ".join([*(r.choice(kinds[j % 2]) for j in range(100)), f"once{i}"])) for i in range(200)]
+    model, counts = class_lm.train(documents(rows), lambda crc: crc >= 0)
+    of = {bytes(x["word"]).decode(): x["class"] for x in counts.collect()}
+    assert sum(c < class_lm.CLASSES and w.encode() not in model.words for w, c in of.items()) > 200
+    brute = np.zeros((class_lm.WIDTH, class_lm.WIDTH))
+    for _, text in rows:
+        path = [of[w] for w in [" end", *text.split(), " end"]]
+        for a, b in zip(path, path[1:]):
+            brute[a, b] += 1
+    got = model.transition.copy()
+    model.learn_transitions(brute)
+    assert np.allclose(got, model.transition, atol=1e-12)
