@@ -33,7 +33,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from loomspec.llm.common import ID, TEXT, id_text, saved, spread_join, unused
+from loomspec.llm.common import ID, TEXT, id_text, lean, pieces, saved, spread_join, unused
 from loomspec.llm.graph import components, relabelled
 from loomspec.llm.shingles import WordHashes, mix, shingles
 
@@ -100,7 +100,7 @@ def signatures(texts: DataFrame, size: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes, sign, parity = WordHashes(), Signer(), Parity()
-        for batch in batches:
+        for batch in pieces(batches):
             n, low, high, sketches, bands = [], [], [], [], []
             for text in batch.column("data").to_pylist():
                 elements = np.unique(shingles(hashes(text), size))
@@ -114,7 +114,7 @@ def signatures(texts: DataFrame, size: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(ID), pa.array(n, pa.int64()), pa.array(low, pa.int64()), pa.array(high, pa.int64()), pa.array(sketches, longs), pa.array(bands, longs)], names=[ID, "n", "s1", "s2", "parity", "bands"])
 
     data = texts.select(ID, texts[TEXT].cast("binary").alias("data"))
-    return data.mapInArrow(run, f"{ID} bigint, n bigint, s1 bigint, s2 bigint, parity array<bigint>, bands array<bigint>")
+    return data.mapInArrow(lean(run), f"{ID} bigint, n bigint, s1 bigint, s2 bigint, parity array<bigint>, bands array<bigint>")
 
 
 def full_sets(texts: DataFrame, size: int) -> DataFrame:
@@ -122,13 +122,13 @@ def full_sets(texts: DataFrame, size: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHashes()
-        for batch in batches:
+        for batch in pieces(batches):
             sets = [np.unique(shingles(hashes(x), size)) for x in batch.column("data").to_pylist()]
             digests = [xxhash.xxh3_128_digest(x.tobytes()) for x in sets]
             low, high = ([int.from_bytes(x[k : k + 8], "little", signed=True) for x in digests] for k in (0, 8))
             yield pa.RecordBatch.from_arrays([batch.column(ID), pa.array(low, pa.int64()), pa.array(high, pa.int64()), pa.array([x.view(np.int64) for x in sets], pa.list_(pa.int64()))], names=[ID, "s1", "s2", "elements"])
 
-    return texts.select(ID, texts[TEXT].cast("binary").alias("data")).mapInArrow(run, f"{ID} bigint, s1 bigint, s2 bigint, elements array<bigint>")
+    return texts.select(ID, texts[TEXT].cast("binary").alias("data")).mapInArrow(lean(run), f"{ID} bigint, s1 bigint, s2 bigint, elements array<bigint>")
 
 
 def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:

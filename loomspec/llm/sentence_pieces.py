@@ -2,8 +2,8 @@
 
 Where no piece of the model holds a white-space marker after another character, merges never cross the start of a run of
 markers. A text is then cut into marked words; each worker keeps a table of distinct marked words, segments a word once
-when it first meets it, and joins the ids back by position. The table is bounded and emptied when full; results do not
-depend on it. Nothing is shuffled, so no hot word or hot document lands in one task.
+when it first meets it, and joins the ids back by position. The table is bounded, emptied when full and at the end of a task,
+for a worker outlives its tasks; results do not depend on it. Nothing is shuffled, so no hot word or hot document lands in one task.
 
 Null texts count as empty; empty texts have the begin and end ids alone. A very long text is one row, encoded whole. Repeated rows keep a row each, null ids stay
 null, other columns are not read, and an empty table gives an empty result.
@@ -17,11 +17,12 @@ import re
 from array import array
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomspec.llm.common import ID, TEXT, id_text, ship
+from loomspec.llm.common import ID, TEXT, id_text, lean, pieces, ship
 
 MARK = "▁"
 #: Entries of a worker's table, and characters of text that are cut into chunks at a time.
@@ -94,17 +95,23 @@ def encode_texts(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         to = codec(model_path)
         gc.disable()  # many small lists live for one block; nothing here makes cycles
-        for batch in batches:
-            all_ids = list(to.encode(batch.column(TEXT).to_pylist()))
-            decoded = [to.decode(x.tolist()) for x in all_ids]
-            if digests_only:
-                columns = [pa.array([len(x) for x in all_ids], pa.int64()), pa.array([hashlib.sha256(x.tobytes()).hexdigest() for x in all_ids]), pa.array([hashlib.sha256(x.encode()).hexdigest() for x in decoded])]
-                yield pa.RecordBatch.from_arrays([batch.column(ID), *columns], names=[id_col, "n_tokens", "ids_sha256", "decoded_sha256"])
-            else:
-                yield pa.RecordBatch.from_arrays([batch.column(ID), pa.array([x.tolist() for x in all_ids], pa.list_(pa.int32())), pa.array(decoded, pa.string())], names=[id_col, "ids", "decoded"])
+        try:
+            for batch in pieces(batches):
+                all_ids = list(to.encode(batch.column(TEXT).to_pylist()))
+                decoded = [to.decode(x.tolist()) for x in all_ids]
+                if digests_only:
+                    columns = [pa.array([len(x) for x in all_ids], pa.int64()), pa.array([hashlib.sha256(x.tobytes()).hexdigest() for x in all_ids]), pa.array([hashlib.sha256(x.encode()).hexdigest() for x in decoded])]
+                    yield pa.RecordBatch.from_arrays([batch.column(ID), *columns], names=[id_col, "n_tokens", "ids_sha256", "decoded_sha256"])
+                else:
+                    cuts = np.cumsum([0, *map(len, all_ids)], dtype=np.int32)
+                    ids = pa.ListArray.from_arrays(pa.array(cuts), pa.array(np.concatenate(all_ids).astype(np.int32)))
+                    yield pa.RecordBatch.from_arrays([batch.column(ID), ids, pa.array(decoded, pa.string())], names=[id_col, "ids", "decoded"])
+        finally:
+            to.table.clear()  # the model stays with the worker, the table does not
+            gc.enable()
 
     rest = "n_tokens bigint, ids_sha256 string, decoded_sha256 string" if digests_only else "ids array<int>, decoded string"
-    return id_text(docs, id_col, text_col).mapInArrow(run, f"`{id_col}` bigint, {rest}")
+    return id_text(docs, id_col, text_col).mapInArrow(lean(run), f"`{id_col}` bigint, {rest}")
 
 
 def decode_ids(encoded: DataFrame, model_path: str, ids_col: str = "ids", out_col: str = "decoded") -> DataFrame:

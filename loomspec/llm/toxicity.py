@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from loomspec.llm.common import ID, TEXT, bounded_memo, id_text, saved, ship
+from loomspec.llm.common import ID, TEXT, bounded_memo, id_text, lean, pieces, saved, ship
 from loomspec.llm.training import labelled_sample, sigmoid
 
 BUCKETS = 1 << 24
@@ -52,9 +52,7 @@ def buckets(word: str) -> tuple[int, ...]:
 
 def _pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The batches in pieces, so that the terms of few texts are held at a time."""
-    for batch in batches:
-        for first in range(0, batch.num_rows, AT_ONCE):
-            yield batch.slice(first, AT_ONCE)
+    return pieces(batches, AT_ONCE)
 
 
 def distinct_buckets(texts: DataFrame) -> DataFrame:
@@ -68,7 +66,7 @@ def distinct_buckets(texts: DataFrame) -> DataFrame:
             keys = pa.array([xxhash.xxh3_64_intdigest(x.tobytes()) >> 1 for x in terms], pa.int64())
             yield pa.RecordBatch.from_arrays([batch.column("label"), keys, pa.array(terms, pa.list_(pa.int32()))], names=["label", "key", "terms"])
 
-    return texts.select("label", TEXT).mapInArrow(run, "label double, key bigint, terms array<int>")
+    return texts.select("label", TEXT).mapInArrow(lean(run), "label double, key bigint, terms array<int>")
 
 
 def numbered_terms(rows: DataFrame, terms: np.ndarray) -> DataFrame:
@@ -87,7 +85,7 @@ def numbered_terms(rows: DataFrame, terms: np.ndarray) -> DataFrame:
             out = [places[4 * a : 4 * b] for a, b in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column("label"), batch.column("key"), pa.array(out, pa.binary())], names=["label", "key", "terms"])
 
-    return rows.mapInArrow(run, "label double, key bigint, terms binary")
+    return rows.mapInArrow(lean(run), "label double, key bigint, terms binary")
 
 
 class FactorizationMachine:
@@ -193,4 +191,4 @@ def _scored(rows: DataFrame, text: int, model: FactorizationMachine) -> DataFram
             index = np.fromiter((i for x in found for i in x), np.int64, offsets[-1])
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(sigmoid(machine.raw(index, offsets)))], names=[*batch.schema.names, "score"])
 
-    return rows.mapInArrow(run, T.StructType([*rows.schema.fields, T.StructField("score", T.DoubleType())]))
+    return rows.mapInArrow(lean(run), T.StructType([*rows.schema.fields, T.StructField("score", T.DoubleType())]))

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from loomspec.llm import sentence_pieces, token_counts
-from loomspec.llm.common import scratch_path
+from loomspec.llm.common import pieces, scratch_path
 
 WORDS, PIECES = str(public_tokenizers.path("word_bpe_49k.json")), str(public_tokenizers.path("piece_bpe_32k.model"))
 
@@ -89,3 +89,26 @@ def test_second_run_encodes_what_is_new(spark, documents, monkeypatch):
         monkeypatch.setattr(token_counts, "MOST_SENT", sent)
         more = token_counts.count_tokens(documents([*rows, (99, f"something new {sent}")]), WORDS, cache).collect()
         assert seen.pop() == 1 and not seen and len(more) == 41
+
+
+def test_workers_keep_no_table_and_encode_in_pieces(spark, documents):
+    """A worker outlives its task: what it still holds would count beside the next stage's."""
+
+    def held(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            yield pa.RecordBatch.from_pydict({"n": pa.array([sum(len(c.table) for c in sentence_pieces._CODECS.values())], pa.int64())})
+
+    docs = documents([(i, f"text number {i}") for i in range(1300)], parts=1)
+    got = sentence_pieces.encode_texts(docs, PIECES).collect()
+    assert len(got) == 1300 and {r["doc_id"]: r["decoded"] for r in got} == {i: f"text number {i}" for i in range(1300)}
+    assert {r["n"] for r in spark.range(0, 8, 1, 8).mapInArrow(held, "n bigint").collect()} == {0}
+
+
+def test_pieces_hold_every_row():
+    import pyarrow as pa
+
+    batches = [pa.RecordBatch.from_pydict({"x": list(range(a, b))}) for a, b in ((0, 20), (20, 20), (20, 27))]
+    parts = [x.column(0).to_pylist() for x in pieces(iter(batches), 7)]
+    assert [len(x) for x in parts] == [7, 7, 6, 7] and sum(parts, []) == list(range(27))
