@@ -51,7 +51,7 @@ def boilerplate_lines(docs: DataFrame, site_col: str = "source", text_col: str =
     """The keys of the lines that at least least_sites distinct sites hold, as (key, sites): exact, or an estimate far above."""
     pairs = docs.select(F.coalesce(F.concat(F.lit("s"), docs[site_col].cast("string")), F.lit("n")).alias("site"), F.explode(line_keys(docs[text_col].cast("string"))).alias("key"))
     sketched = pairs.groupBy("key").agg(F.hll_sketch_agg("site", F.lit(SKETCH_BITS)).alias("sketch"))
-    estimates = saved(sketched.select("key", F.hll_sketch_estimate("sketch").alias("sites")).where(F.col("sites") >= least_sites / NEAR), "line-sites")
+    estimates = saved(sketched.select("key", F.hll_sketch_estimate("sketch").alias("sites")).where(F.col("sites") >= least_sites / NEAR), "line-sites", small=True)
     clear = estimates.where(F.col("sites") > least_sites * NEAR)
     near = estimates.where(F.col("sites") <= least_sites * NEAR)
     exact = pairs.join(near.select("key"), "key", "left_semi").groupBy("key").agg(F.countDistinct("site").alias("sites")).where(F.col("sites") >= least_sites)
@@ -60,7 +60,7 @@ def boilerplate_lines(docs: DataFrame, site_col: str = "source", text_col: str =
 
 def remove_boilerplate(docs: DataFrame, site_col: str = "source", text_col: str = "text", least_sites: int = LEAST_SITES, removed_col: str | None = None, most_lines: int = MOST_LINES) -> DataFrame:
     """docs with the text less its boilerplate lines; with removed_col also the number of lines removed."""
-    lines = saved(boilerplate_lines(docs, site_col, text_col, least_sites).select("key"), "boilerplate")
+    lines = saved(boilerplate_lines(docs, site_col, text_col, least_sites).select("key"), "boilerplate", small=True)
     text = F.col(text_col).cast("string")
     if lines.count() <= most_lines:
         found = [row[0] for row in lines.select(F.lower(F.hex("key"))).sort("key").collect()]  # most_lines at most, as counted

@@ -80,3 +80,26 @@ def test_native(documents, spark):
     for df in (decontamination.find_hits(documents(TEXTS), bench), line_dedup.remove_boilerplate(documents(TEXTS))):
         plan = df._jdf.queryExecution().executedPlan().toString()
         assert "Python" not in plan and "Arrow" not in plan
+
+
+def test_few_lines_go_to_few_files(spark, documents, prose, monkeypatch):
+    """However many tasks make them: each file that is written starts processes beside the executor."""
+    files, saved = [], line_dedup.saved
+
+    def watched(*args, **more):
+        out = saved(*args, **more)
+        files.append(len(out.inputFiles()))
+        return out
+
+    monkeypatch.setattr(line_dedup, "saved", watched)
+    many = {"spark.sql.shuffle.partitions": "40", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {key: spark.conf.get(key) for key in many}
+    for key, value in many.items():
+        spark.conf.set(key, value)
+    try:
+        docs = documents([(i, "\n".join([prose(4, i), *(f"line {k}" for k in range(60))]), f"site {i}") for i in range(30)])
+        assert line_dedup.remove_boilerplate(docs, removed_col="n").where("n = 60").count() == 30
+    finally:
+        for key, value in before.items():
+            spark.conf.set(key, value)
+    assert len(files) == 2 and max(files) <= spark.sparkContext.defaultParallelism
