@@ -23,16 +23,18 @@ from __future__ import annotations
 
 import sys
 import zlib
-from collections import Counter
+from collections import Counter, defaultdict
 from collections.abc import Iterator
+from itertools import count, repeat
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from loomspec.llm.common import ID, ROW, TEXT, bounded_memo, crc_of_id, id_text, saved
+from loomspec.llm.common import ID, ROW, TEXT, bounded_memo, crc_of_id, drop_saved, id_text, saved
 
 CLUSTERED, CLASSES, LEARNT = 1000, 48, 5
 #: The log likelihood for each token below which a sweep's gain ends the exchange.
@@ -48,13 +50,16 @@ FLUSH_WORDS = 400_000
 END = b" end"
 SHAPES = 64
 WIDTH, UNITS = CLASSES + SHAPES, CLUSTERED + SHAPES
+PAIRS = WIDTH * WIDTH
+#: Places of a pair whose class is not known yet.
+NONE, ONE, BOTH = range(3)
 
 
 def shape(word: bytes) -> int:
     """0 to SHAPES - 1: by length, digits, bytes outside ASCII, and the mark at the end."""
     last = word[-1]
     mark = 0 if last >= 128 or chr(last).isalnum() else 1 if last in b".!?" else 2 if last in b",;:" else 3
-    digits, wide = any(48 <= x < 58 for x in word), not word.isascii()
+    digits, wide = len(word.translate(None, b"0123456789")) < len(word), not word.isascii()
     return mark * 16 + digits * 8 + wide * 4 + min(3, len(word) // 5)
 
 
@@ -184,8 +189,7 @@ def neighbours(texts: DataFrame, shared, bits) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         place, learnt = shared.value, np.unpackbits(bits.value)
-        local: dict[bytes, int] = {}
-        number = local.setdefault
+        local: dict[bytes, int] = defaultdict(count().__next__)
         held: list[np.ndarray] = []
         sums, size, end = np.zeros(UNITS * UNITS, np.int64), 0, place.get(END, CLUSTERED + shape(END))
 
@@ -210,11 +214,11 @@ def neighbours(texts: DataFrame, shared, bits) -> DataFrame:
         for batch in batches:
             for text in batch.column("data").to_pylist():
                 words = tokens(text)
-                held.append(np.fromiter((number(w, len(local)) for w in words), np.int64, len(words)))
+                held.append(np.fromiter(map(local.__getitem__, words), np.int64, len(words)))
                 size += len(words)
                 if size > 10 * FLUSH_WORDS:
                     yield rows()
-                    local.clear()
+                    local = defaultdict(count().__next__)
                     held.clear()
                     size = 0
         if held:
@@ -232,7 +236,7 @@ def assigned(counts: DataFrame, near: DataFrame, of: np.ndarray, pairs: np.ndarr
     into, out = both[:, :CLASSES], both[:CLASSES]
     # log P(class before | class) and log P(class after | class), a row for each of the 2 * WIDTH places
     likely = np.log(np.concatenate([(into + 0.1) / (into.sum(0) + 0.1 * WIDTH), ((out + 0.1) / (out.sum(1, keepdims=True) + 0.1 * WIDTH)).T]))
-    likely[:, np.bincount(of, minlength=WIDTH)[:CLASSES] == 0] = -np.inf
+    nobody = np.bincount(of, minlength=WIDTH)[:CLASSES] == 0
     class_of = np.concatenate([unit_class, WIDTH + unit_class])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -248,7 +252,9 @@ def assigned(counts: DataFrame, near: DataFrame, of: np.ndarray, pairs: np.ndarr
                 for first in range(0, len(known), 2000):  # so many words at a time, to bound the memory
                     last = min(first + 2000, len(known))
                     low, high = ends[first] - size[known[first]], ends[last - 1]
-                    scores = np.add.reduceat(likely[class_of[where[low:high]]] * m[low:high, None], ends[first:last] - size[known[first:last]] - low)
+                    own = np.repeat(np.arange(last - first), size[known[first:last]]) * 2 * WIDTH + class_of[where[low:high]]
+                    scores = np.bincount(own, m[low:high], (last - first) * 2 * WIDTH).reshape(-1, 2 * WIDTH) @ likely
+                    scores[:, nobody] = -np.inf
                     found[known[first:last]] = np.argmax(scores, 1)
             found[n < LEARNT] = -1
             words = batch.column("word").to_pylist()
@@ -266,7 +272,10 @@ def assigned(counts: DataFrame, near: DataFrame, of: np.ndarray, pairs: np.ndarr
 
 def class_pairs(texts: DataFrame, shared, tail: DataFrame | None) -> DataFrame:
     """(pair, n): how often class a comes before class b, as a * WIDTH + b. shared has the classes of the head, tail, (word, class),
-    those of learnt words beyond it, which meet their places in joins; all other words count by their shape."""
+    those of learnt words beyond it, which meet their places in joins; all other words count by their shape.
+
+    A worker sums what it can: pairs of known classes, and for each word of the tail what classes are before it and, from WIDTH
+    on, after it. Such sums travel as n * PAIRS + place. Pairs of two words of the tail meet the second one's class in a join of their own."""
     spark = texts.sparkSession
     bits = spark.sparkContext.broadcast(word_bits(tail) if tail is not None else None)
 
@@ -286,46 +295,63 @@ def class_pairs(texts: DataFrame, shared, tail: DataFrame | None) -> DataFrame:
 
         memo.make = make
 
-        def rows(a: np.ndarray, b: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
-            columns = []
-            for x in (a, b):
-                columns += [pa.array(x, pa.int32(), mask=x >= WIDTH), pa.array([open_words[k - WIDTH] if k >= WIDTH else None for k in x.tolist()], pa.binary())]
-            return pa.RecordBatch.from_arrays([*columns, pa.array(n, pa.int64())], names=["a", "a_word", "b", "b_word", "n"])
+        held: list[np.ndarray] = []
+        sums, size = np.zeros(PAIRS, np.int64), 0
+
+        def row(kind: int, words: pa.Array, others: pa.Array, cuts: np.ndarray, codes: np.ndarray) -> pa.RecordBatch:
+            lists = pa.ListArray.from_arrays(pa.array(cuts.astype(np.int32)), pa.array(codes, pa.int64()))
+            return pa.RecordBatch.from_arrays([pa.array(np.full(len(words), kind), pa.int32()), words, others, lists], names=["kind", "word", "other", "codes"])
+
+        def rows() -> Iterator[pa.RecordBatch]:
+            ids = np.concatenate([[end], *held])  # every text ends with the end token
+            a, b = ids[:-1], ids[1:]
+            open_a, open_b = a >= WIDTH, b >= WIDTH
+            known = ~(open_a | open_b)
+            np.add(sums, np.bincount(a[known] * WIDTH + b[known], minlength=PAIRS), out=sums)
+            if not open_words:
+                return
+            words = pa.array(open_words, pa.binary())
+            after, before, both = open_a & ~open_b, open_b & ~open_a, open_a & open_b
+            keys, n = np.unique(np.concatenate([(a[after] - WIDTH) * 2 * WIDTH + WIDTH + b[after], (b[before] - WIDTH) * 2 * WIDTH + a[before]]), return_counts=True)
+            word = keys // (2 * WIDTH)
+            first = np.flatnonzero(np.concatenate([[True], word[1:] != word[:-1]])) if len(word) else np.zeros(0, np.int64)
+            yield row(ONE, words.take(pa.array(word[first])), pa.nulls(len(first), pa.binary()), np.concatenate([first, [len(word)]]), n * PAIRS + keys % (2 * WIDTH))
+            keys, n = np.unique((a[both] - WIDTH) * len(words) + b[both] - WIDTH, return_counts=True)
+            yield row(BOTH, words.take(pa.array(keys // len(words))), words.take(pa.array(keys % len(words))), np.arange(len(keys) + 1), n * PAIRS)
 
-        sums = np.zeros(WIDTH * WIDTH, np.int64)
         for batch in batches:
-            held = []
             for text in batch.column("data").to_pylist():
                 words = tokens(text)
                 held.append(np.fromiter(map(memo.__getitem__, words), np.int64, len(words)))
-            if held:
-                ids = np.concatenate([[end], *held])
-                a, b = ids[:-1], ids[1:]
-                known = (a < WIDTH) & (b < WIDTH)
-                sums += np.bincount(a[known] * WIDTH + b[known], minlength=WIDTH * WIDTH)
-                if len(open_words):
-                    width = WIDTH + len(open_words)
-                    keys, n = np.unique(a[~known] * width + b[~known], return_counts=True)
-                    yield rows(keys // width, keys % width, n)
-            if len(open_words) > MEMO_ENTRIES:
-                memo.clear()
-                open_words.clear()
+                size += len(words)
+                if size > 10 * FLUSH_WORDS:
+                    yield from rows()
+                    held.clear()
+                    size = 0
+                    if len(open_words) > MEMO_ENTRIES:
+                        memo.clear()
+                        open_words.clear()
+        if held:
+            yield from rows()
         used = np.flatnonzero(sums)
-        yield rows(used // WIDTH, used % WIDTH, sums[used])
-
-    found = texts.select("data").mapInArrow(run, "a int, a_word binary, b int, b_word binary, n bigint")
-    if tail is not None:
-        found = saved(found, "class-pairs")
-        both_known = F.col("a").isNotNull() & F.col("b").isNotNull()
-        known, found = found.where(both_known), found.where(~both_known)
-        for x, other in (("a", "b"), ("b", "a")):
-            # a place whose class is known goes anywhere: no word has a space
-            key = F.coalesce(f"{x}_word", F.concat(F.encode(F.lit(" "), "UTF-8"), F.coalesce(f"{other}_word", F.encode(F.lit(""), "UTF-8"))))
-            classes = tail.select(F.col("word").alias("key"), F.col("class").alias("of"))
-            joined = found.withColumn("key", key).join(classes, "key", "left")
-            found = joined.withColumn(x, F.coalesce(x, "of", shape_column(F.col(f"{x}_word")) + CLASSES)).drop("key", "of")
-        found = known.unionByName(found)
-    return found.groupBy((F.col("a").cast("bigint") * WIDTH + F.col("b")).alias("pair")).agg(F.sum("n").alias("n"))
+        nowhere = b" %d" % TaskContext.get().partitionId()  # no word has a space
+        yield row(NONE, pa.array([nowhere], pa.binary()), pa.nulls(1, pa.binary()), np.array([0, len(used)]), sums[used] * PAIRS + used)
+
+    found = texts.select("data").mapInArrow(run, "kind int, word binary, other binary, codes array<bigint>")
+    at, n = F.col("code") % PAIRS, F.expr(f"code div {PAIRS}")
+    if tail is None:
+        return found.select(F.explode("codes").alias("code")).groupBy(at.alias("pair")).agg(F.sum(n).alias("n"))
+    tail = tail.select(F.col("word").alias("key"), F.col("class").alias("of"))
+    class_of = lambda word: F.coalesce("of", shape_column(F.col(word)) + CLASSES).cast("bigint")
+    once = found.join(tail, found["word"] == tail["key"], "left").select("kind", "other", F.when(F.col("kind") != NONE, class_of("word")).alias("c"), F.explode("codes").alias("code"))
+    one = F.when(at < WIDTH, at * WIDTH + F.col("c")).otherwise(F.col("c") * WIDTH + at - WIDTH)
+    pair = F.when(F.col("kind") == NONE, at).when(F.col("kind") == ONE, one).otherwise(F.col("c") * WIDTH)
+    once = once.groupBy("other", pair.alias("pair")).agg(F.sum(n).alias("n"))
+    # of two places that were open the second one is left; pairs that are complete go anywhere
+    key = F.coalesce("other", F.encode(F.concat(F.lit(" "), F.col("pair").cast("string")), "UTF-8"))
+    twice = once.withColumn("place", key).join(tail, F.col("place") == F.col("key"), "left")
+    whole = F.col("pair") + F.when(F.col("other").isNotNull(), class_of("other")).otherwise(0)
+    return twice.groupBy(whole.alias("pair")).agg(F.sum("n").alias("n"))
 
 
 def train(docs: DataFrame, learn_from, id_col: str = "doc_id", text_col: str = "text") -> tuple[ClassModel, DataFrame]:
@@ -348,6 +374,8 @@ def train(docs: DataFrame, learn_from, id_col: str = "doc_id", text_col: str = "
     used = np.concatenate([of[: len(top)], of[CLUSTERED:]])
     kept = np.concatenate([np.arange(len(top)), np.arange(CLUSTERED, UNITS)])
     classes = saved(assigned(counts, near.where("word IS NOT NULL"), used, pairs[np.ix_(kept, kept)], of, clustered, least), "word-classes")
+    for table in (near, counts):  # nothing reads them any more
+        drop_saved(table)
     totals, types = np.zeros(WIDTH), np.zeros(WIDTH)
     for c, n, m in classes.groupBy("class").agg(F.sum("n"), F.count("*")).collect():  # WIDTH rows at most
         totals[c], types[c] = n, m
@@ -383,6 +411,8 @@ def _parts(texts: DataFrame, model: ClassModel) -> DataFrame:
         emitted = np.array([*(x[1] for x in m.words.values()), 0.0])
         base = np.array([*(np.log10((x[2] + 1) / (m.total + m.distinct + 1)) for x in m.words.values()), 0.0])
         get, other = place.get, len(place)
+        shapes = bounded_memo(MEMO_ENTRIES)
+        shapes.make = shape
         texts_of, rare_of, size = [], [], 0
 
         def rows() -> Iterator[pa.RecordBatch]:
@@ -394,13 +424,13 @@ def _parts(texts: DataFrame, model: ClassModel) -> DataFrame:
                 lens = [len(x) for x in pos]
                 flat = [w for x in words for w in x]
                 k = len(flat)
-                columns = (np.repeat(np.array(row, np.int64), lens), pa.array([i for i, c in zip(key, lens, strict=True) for _ in range(c)], pa.int64()), flat, np.concatenate(pos), np.concatenate(before), np.concatenate(after), np.fromiter(map(shape, flat), np.int32, k), *[np.zeros(k, np.int64)] * 2, *[np.zeros(k)] * 2)
+                columns = (np.repeat(np.array(row, np.int64), lens), pa.array(key, pa.int64()).take(pa.array(np.repeat(np.arange(len(lens)), lens))), flat, np.concatenate(pos), np.concatenate(before), np.concatenate(after), np.fromiter(map(shapes.__getitem__, flat), np.int32, k), *[np.zeros(k, np.int64)] * 2, *[np.zeros(k)] * 2)
                 yield pa.RecordBatch.from_arrays([x if isinstance(x, pa.Array) else pa.array(x, t) for x, t in zip(columns, types, strict=True)], names=names)
 
         for batch in batches:
             for row, key, text in zip(*(batch.column(x).to_pylist() for x in (ROW, ID, "data")), strict=True):
                 words = tokens(text)
-                at = np.fromiter((get(w, other) for w in words), np.int64, len(words))
+                at = np.fromiter(map(get, words, repeat(other)), np.int64, len(words))
                 path = np.concatenate([[m.end], of[at]])
                 a, b = path[:-1], path[1:]
                 ok = (a >= 0) & (b >= 0)

@@ -1,5 +1,6 @@
 import collections
 import math
+import os
 import random
 import re
 import zlib
@@ -149,3 +150,31 @@ def test_transitions_count_the_classes_of_all_words(documents, monkeypatch):
     got = model.transition.copy()
     model.learn_transitions(brute)
     assert np.allclose(got, model.transition, atol=1e-12)
+
+
+@pytest.mark.parametrize("flush", [3, 400_000])
+def test_class_pairs_against_brute_force(spark, documents, prose, monkeypatch, flush):
+    """Words of the head, of the tail and neither, next to each other in all ways, in one piece or many."""
+    monkeypatch.setattr(class_lm, "FLUSH_WORDS", flush)
+    texts = [prose(60, i % 25) for i in range(50)] + ["", "word"]
+    words = sorted({w for t in texts for w in class_lm.tokens(t.encode())})
+    head, tail = {w: i % class_lm.WIDTH for i, w in enumerate(words[::3])}, {w: i % class_lm.CLASSES for i, w in enumerate(words[1::3])}
+    want = {}
+    of = lambda w: head.get(w, tail.get(w, class_lm.CLASSES + class_lm.shape(w)))
+    for t in texts:
+        path = [class_lm.END, *class_lm.tokens(t.encode())]
+        for a, b in zip(path, path[1:], strict=False):
+            want[of(a) * class_lm.WIDTH + of(b)] = want.get(of(a) * class_lm.WIDTH + of(b), 0) + 1
+    data = documents(list(enumerate(texts))).select(F.col("text").cast("binary").alias("data"))
+    known = spark.createDataFrame(list(tail.items()), "word binary, class int")
+    got = class_lm.class_pairs(data, spark.sparkContext.broadcast(head), known).collect()
+    assert {r["pair"]: r["n"] for r in got} == want and len(got) == len(want)
+
+
+def test_training_leaves_only_what_scoring_reads(spark, documents, prose, monkeypatch):
+    kept, saved = {}, class_lm.saved
+    monkeypatch.setattr(class_lm, "saved", lambda df, name: kept.setdefault(name, saved(df, name)))
+    docs = documents([(i, prose(40, i)) for i in range(60)])
+    model, classes = class_lm.train(docs, lambda crc: crc >= 0)
+    there = {name for name, df in kept.items() if any(os.path.exists(x.removeprefix("file://")) for x in df.inputFiles())}
+    assert there == {"word-classes"} and class_lm.score(docs, model, classes).count() == 60
